@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.windows import pearson
+
 CLASSES = 256
 SMALL_INPUT = 64 << 20
 
@@ -110,7 +112,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "ic"
         r = clean.select(*ks, average_rank(x, ks).alias("_rx"), F.col(y).alias("_y"))
         r = r.select(*ks, "_rx", average_rank("_y", ks).alias("_ry"))
         return r.groupBy(*ks).agg(
-            F.count(F.lit(1)).alias("n"), F.coalesce(F.nanvl(F.corr("_rx", "_ry"), F.lit(None)), F.lit(0.0)).alias(out)
+            F.count(F.lit(1)).alias("n"), F.coalesce(pearson("_rx", "_ry"), F.lit(0.0)).alias(out)
         )
     ks = list(keys) or ["_k"]
     if not keys:

@@ -22,7 +22,10 @@ class Series:
 
     def __init__(self, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("date",)):
         self.keys, self.order = tuple(keys), tuple(order)
-        self.w = Window.partitionBy(*self.keys).orderBy(*self.order)
+
+    @property
+    def w(self):
+        return Window.partitionBy(*self.keys).orderBy(*self.order)
 
     def frame(self, n: int):
         return self.w.rowsBetween(-(n - 1), 0)
@@ -67,10 +70,48 @@ class Series:
     def row(self) -> Column:
         return F.row_number().over(self.w)
 
-    def zscore(self, c, n, min_periods) -> Column:
-        """Rolling z-score; zero deviation counts as 1e-10."""
-        sd = self.std(c, n, min_periods)
-        return (col(c) - self.mean(c, n, min_periods)) / F.when(sd == 0, 1e-10).otherwise(sd)
+    def with_zscore(self, df: DataFrame, columns: Sequence[str], n: int, min_periods: int, suffix: str = "_z") -> DataFrame:
+        """Adds trailing z-scores from differences of running sums: constant work per row for any window length.
+
+        Values are centred on the series mean first so the differences keep their digits; a window whose variance is
+        below 1e-13 of the series variance counts as flat and scores 0, as does one with too few values.
+        """
+        whole, upto = Window.partitionBy(*self.keys), self.w.rowsBetween(Window.unboundedPreceding, 0)
+        base = df.columns
+        df = df.withColumns({f"{c}__m": F.avg(c).over(whole) for c in columns} | {f"{c}__v": F.var_pop(c).over(whole) for c in columns})
+        x = {c: F.col(c) - F.col(f"{c}__m") for c in columns}
+        run = {}
+        for c in columns:
+            run |= {f"{c}__n": F.count(c).over(upto), f"{c}__s": F.sum(x[c]).over(upto), f"{c}__q": F.sum(x[c] * x[c]).over(upto)}
+        df = df.withColumns(run)
+        df = df.withColumns({f"{k}0": F.lag(k, n, 0).over(self.w) if k.endswith("__n") else F.lag(k, n, 0.0).over(self.w) for k in run})
+        part = {}
+        for c in columns:
+            m = F.col(f"{c}__n") - F.col(f"{c}__n0")
+            s, q = F.coalesce(f"{c}__s", F.lit(0.0)) - F.coalesce(f"{c}__s0", F.lit(0.0)), F.coalesce(f"{c}__q", F.lit(0.0)) - F.coalesce(f"{c}__q0", F.lit(0.0))
+            part |= {f"{c}__k": m, f"{c}__mu": F.when(m > 0, s / m), f"{c}__var": F.when(m > 1, (q - s * s / F.when(m > 0, m)) / (m - 1))}
+        df = df.withColumns(part)
+        z = {c + suffix: F.coalesce(F.when((F.col(f"{c}__k") >= min_periods) & (F.col(f"{c}__var") > 1e-13 * F.col(f"{c}__v")),
+                                           (x[c] - F.col(f"{c}__mu")) / F.sqrt(f"{c}__var")), F.lit(0.0)) for c in columns}
+        return df.withColumns(z).select(*base, *z)
+
+
+def by_series(df: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Hash-partitions by the series key with the full partition count.
+
+    Trailing windows are CPU-bound: without the explicit count the adaptive planner merges the small partitions of a
+    compact bar table into one task.  The windows above reuse this partitioning, so it replaces their shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def pearson(x, y, over=None) -> Column:
+    """Correlation as covariance over deviations: null for a constant side (``corr`` raises there in ANSI mode)."""
+    x, y = col(x), col(y)
+    both = x.isNotNull() & y.isNotNull()
+    parts = [F.covar_pop(x, y), F.stddev_pop(F.when(both, x)), F.stddev_pop(F.when(both, y))]
+    c, a, b = [p.over(over) if over is not None else p for p in parts]
+    return F.try_divide(c, a * b)
 
 
 def nonzero(c: str | Column, eps: float = 1e-10) -> Column:
@@ -81,7 +122,7 @@ def nonzero(c: str | Column, eps: float = 1e-10) -> Column:
 def finite(c: str | Column) -> Column:
     """NaN and infinities become null."""
     c = col(c)
-    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
+    return F.when(F.abs(c) < float("inf"), c)  # NaN sorts above infinity
 
 
 def clip(c: str | Column, lo: float, hi: float) -> Column:
@@ -91,13 +132,13 @@ def clip(c: str | Column, lo: float, hi: float) -> Column:
 
 
 def rnd(df: DataFrame, digits: int = 6, **per_column: int) -> DataFrame:
-    """Comparable output: floats rounded in binary (NaN/inf as null), dates and timestamps as text."""
+    """Comparable output: floats on a decimal grid whose cell borders avoid short decimals, dates as text."""
     out = []
     for name, dtype in df.dtypes:
         c = F.col(f"`{name}`")
         if dtype in ("double", "float"):
             scale = float(10 ** per_column.get(name, digits))
-            c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.round(c * scale) / scale + 0.0)
+            c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.floor(c * scale + 0.70710678) / scale)
         elif dtype in ("date", "timestamp"):
             c = c.cast("string")
         out.append(c.alias(name))

@@ -32,7 +32,7 @@ W = "partition by symbol order by date"
 def r(expr: str, digits: int = 6, name: str | None = None) -> str:
     """Rounded value with NaN/inf as null and no negative zero."""
     scale = "1" + "0" * digits + ".0::double"
-    x = f"(case when isfinite(({expr})) then round(({expr}) * {scale}) / {scale} + 0.0 end)"
+    x = f"(case when isfinite(({expr})) then floor(({expr}) * {scale} + 0.70710678::double) / {scale} end)"
     return f"{x} as {name}" if name else x
 
 

@@ -17,6 +17,7 @@ def get_session(app: str = "panelspark", master: str | None = None, shuffle: int
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         b = b.master(master).config("spark.driver.memory", os.environ.get("PANELSPARK_DRIVER_MEMORY", "12g"))

@@ -86,7 +86,7 @@ def main() -> None:
             fails += res != "OK"
         except Exception as e:  # report and go on
             fails += 1
-            print(f"{name:36s} ERROR {type(e).__name__}: {str(e)[:700]}", flush=True)
+            print(f"{name:36s} ERROR {type(e).__name__}: {" ".join(str(e).split())[:400]}", flush=True)
     print("failures:", fails)
     spark.stop()
 
