@@ -91,3 +91,16 @@ def spearman(source: str, keys: str, x: str, y: str, out: str = "ic") -> str:
       select {k}rank() over ({pk}order by {x}) + (count(*) over (partition by {k}{x}) - 1) / 2.0 as rx,
         rank() over ({pk}order by {y}) + (count(*) over (partition by {k}{y}) - 1) / 2.0 as ry
       from {source} where {x} is not null and {y} is not null) {'group by ' + keys if keys else ''}"""
+
+BAD = """bad0 as (select *, 1 as arrival from bars union all
+    select symbol, date, open, high, low, close + 1, volume, 2 from bars where day(date) % 7 = 0),
+  bad as (select symbol, date, open, case when day(date) % 13 = 0 then low - 1 else high end as high, low,
+    case when day(date) % 11 = 0 and arrival = 1 then -close else close end as close,
+    case when day(date) % 5 = 0 then null else volume end as volume, arrival from bad0)"""
+
+INSTRUMENTS = """instruments as (select p_partkey, ' ' || lpad(cast(p_partkey * 7919 % 700000 as varchar), 6, '0')
+    || (['.sh', '.SZ', '.SHF', '.FXCM', '.XX', ''])[p_size % 6 + 1] as raw_symbol from part)"""
+
+SNAP_B = """snap0 as (select *, row_number() over (partition by symbol order by date) as rn, count(*) over (partition by symbol) as n from bars),
+  snapb as (select symbol, date, case when rn < n / 3.0 then open * 1.1 else open end as open, case when rn < n / 3.0 then high * 1.1 else high end as high,
+    case when rn < n / 3.0 then low * 1.1 else low end as low, case when rn < n / 3.0 then close * 1.1 else close end as close, volume from snap0 where rn > 3)"""

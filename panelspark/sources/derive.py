@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators.windows import Series
@@ -76,3 +76,44 @@ def predictions(scores: DataFrame, step: int = 5) -> DataFrame:
     p = scores.withColumn("rn", s.row()).filter((F.col("rn") - 1) % step == 0)
     return p.select("symbol", "horizon", F.col("date").alias("latest_date"), F.col("close").alias("latest_close"), "p_up",
                     (2 * F.abs(F.col("p_up") - 0.5)).alias("confidence"))
+
+
+def bad_bars(bars: DataFrame) -> DataFrame:
+    """Bars with planted faults: second copies, negative closes, inverted ranges, missing volume."""
+    d = F.dayofmonth("date")
+    a = bars.withColumn("arrival", F.lit(1))
+    copy = bars.filter(d % 7 == 0).withColumn("close", F.col("close") + 1).withColumn("arrival", F.lit(2))
+    u = a.unionByName(copy)
+    return u.withColumns({
+        "close": F.when((d % 11 == 0) & (F.col("arrival") == 1), -F.col("close")).otherwise(F.col("close")),
+        "high": F.when(d % 13 == 0, F.col("low") - 1).otherwise(F.col("high")),
+        "volume": F.when(d % 5 == 0, None).otherwise(F.col("volume")),
+    })
+
+
+def instruments(spark: SparkSession, sf: str) -> DataFrame:
+    """Instrument codes with exchange suffixes, one per part."""
+    p = table(spark, sf, "part")
+    code = F.lpad((F.col("p_partkey") * 7919 % 700000).cast("string"), 6, "0")
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".sh", ".SZ", ".SHF", ".FXCM", ".XX", "")]), (F.col("p_size") % 6 + 1).cast("int"))
+    return p.select("p_partkey", F.concat(F.lit(" "), code, suffix).alias("raw_symbol"))
+
+
+def quote_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Text lines in the quote format, one per event; every ninth has no previous close."""
+    e = table(spark, sf, "events")
+    v = F.col("value").cast("string")
+    prev = F.when(F.col("event_id") % 9 == 0, "0").otherwise((F.col("value") + 1).cast("string"))
+    user = F.col("user_id").cast("string")
+    line = F.concat(F.lit("v_sh"), user, F.lit('="1~name~'), user, F.lit("~"), v, F.lit("~"), prev, F.lit("~"), v, F.lit("~100"),
+                    F.lit("~" * 27), v, F.lit("~"), v, F.lit('~";'))
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), line.alias("value"))
+
+
+def snapshot_b(bars: DataFrame) -> DataFrame:
+    """Second snapshot: the first three rows missing and the older third rescaled."""
+    s = Series()
+    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
+    x = bars.withColumns({"_rn": s.row(), "_n": n}).filter(F.col("_rn") > 3)
+    old = F.col("_rn") < F.col("_n") / 3
+    return x.withColumns({c: F.when(old, F.col(c) * 1.1).otherwise(F.col(c)) for c in ("open", "high", "low", "close")}).drop("_rn", "_n")
