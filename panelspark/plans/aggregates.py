@@ -28,12 +28,12 @@ def verified_samples(spark, sf):
 
 
 @query("audit_report", "AG4 RM17", f"""with {VERIFIED}, g as (select horizon, symbol, count(*) as records, sum(verified::int) as verified, sum(coalesce(hit::int, 0) * verified::int) as hits,
-   sum(verified::int * (date_diff('day', latest_date, date '2001-12-31') <= 30)::int) as recent, sum(coalesce(hit::int, 0) * verified::int * (date_diff('day', latest_date, date '2001-12-31') <= 30)::int) as recent_hits
+   sum(verified::int * (date_diff('day', latest_date, date '2001-10-31') <= 30)::int) as recent, sum(coalesce(hit::int, 0) * verified::int * (date_diff('day', latest_date, date '2001-10-31') <= 30)::int) as recent_hits
    from verified group by grouping sets ((), (horizon), (symbol)))
   select horizon, symbol, records, verified, hits, recent, recent_hits, {q.rs(6, hit_rate='hits::double / nullif(verified, 0)', recent_hit_rate='recent_hits::double / nullif(recent, 0)')},
    coalesce((hits::double / nullif(verified, 0) - recent_hits::double / nullif(recent, 0) > 0.1)::int, 0) as drift from g""")
 def audit_report(spark, sf):
-    return rnd(ag.audit_report(verified(spark, sf), "2001-12-31"))
+    return rnd(ag.audit_report(verified(spark, sf), "2001-10-31"))
 
 
 _bin = "case " + " ".join(f"when confidence >= {EDGES[i]} and confidence {'<=' if i == 4 else '<'} {EDGES[i + 1]} then {i}" for i in range(5)) + " end"
