@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import two_sided_p
-from panelspark.operators.order_stats import is_small, positions, running_sum, spearman, value_ranks
+from panelspark.operators.order_stats import positions, running_sum, spearman, value_ranks
 from panelspark.operators.windows import Series, pearson
 
 COST_TIERS = {"conservative": 0.00125, "base": 0.00075, "aggressive": 0.00030}  # fixed one-side costs
@@ -28,21 +28,26 @@ def gate_hit_rate(score="score", ret="fwd_ret") -> Column:
     return F.avg(F.when(r.isNotNull(), (((s > 0) & (r > 0)) | ((s < 0) & (r < 0))).cast("double")))
 
 
-def neutral_band(train: DataFrame, keys: Sequence[str], score: str = "score", ret: str = "fwd_ret", steps: int = 10, keep: float = 0.5) -> DataFrame:
-    """Band from a quantile grid over the distinct |score| values that maximises the hit rate while keeping at least
-    ``keep`` of the samples; smallest band on ties.  Statistics of all grid rows come from one running sum."""
-    d = train.filter(F.col(score).isNotNull() & F.col(ret).isNotNull()).withColumn("_a", F.abs(score))
-    live = F.col(ret) != 0
-    g = d.groupBy(*keys, "_a").agg(F.count(F.lit(1)).alias("_n"), F.sum((live & (F.col("_a") > 0)).cast("long")).alias("_l"),
-                                   F.sum((live & (F.col("_a") > 0) & ((F.col(score) > 0) == (F.col(ret) > 0))).cast("long")).alias("_h"), F.lit(1).cast("long").alias("_one"))
-    r = running_sum(g, keys, ["_a"], {"_cn": "_n", "_cl": "_l", "_ch": "_h", "_pos": "_one"})
-    tot = g.groupBy(*keys).agg(F.sum("_n").alias("_tn"), F.sum("_l").alias("_tl"), F.sum("_h").alias("_th"), F.count(F.lit(1)).alias("_m"))
-    grid = tot.withColumn("_pos", F.explode(F.array_distinct(F.array(*[(F.floor((F.col("_m") - 1) * (i / (2 * steps))) + 1).cast("long") for i in range(steps + 1)]))))
-    j = r.join(grid, [*keys, "_pos"])
-    left_n, live_n, hits = F.col("_tn") - F.col("_cn"), F.col("_tl") - F.col("_cl"), F.col("_th") - F.col("_ch")
-    j = j.filter((left_n >= keep * F.col("_tn")) & (live_n > 0)).select(*keys, F.col("_a").alias("band"), (hits / live_n).alias("hit_rate"), left_n.alias("kept"))
+def neutral_band(train: DataFrame, keys: Sequence[str], score: str = "score", ret: str = "fwd_ret",
+                 grid: Sequence[float] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7), keep: float = 0.5, min_samples: int = 10) -> DataFrame:
+    """Band (0 or a quantile-grid value of the distinct |score|) with the best hit rate of the samples above it, keeping
+    at least ``keep`` of them; the smallest on ties, 0 for tiny inputs.  All grid rows come from one running sum."""
+    d = train.filter(F.col(score).isNotNull() & F.col(ret).isNotNull() & (F.col(ret) != 0))
+    ok = ((F.col(score) > 0) == (F.col(ret) > 0)).cast("long")
+    g = d.groupBy(*keys, F.abs(score).alias("_a")).agg(F.count(F.lit(1)).alias("_n"), F.sum(ok).alias("_h"))
+    zero = d.select(*keys).distinct().select(*keys, F.lit(0.0).alias("_a"), F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_h"))
+    g = g.unionByName(zero).groupBy(*keys, "_a").agg(F.sum("_n").alias("_n"), F.sum("_h").alias("_h")).withColumn("_one", (F.col("_n") > 0).cast("long"))
+    r = running_sum(g, keys, ["_a"], {"_cn": "_n", "_ch": "_h", "_pos": "_one"})
+    tot = g.groupBy(*keys).agg(F.sum("_n").alias("_tn"), F.sum("_h").alias("_th"), F.sum("_one").alias("_m"))
+    picks = F.array(*[F.least(F.floor(F.col("_m") * q) + 1, F.col("_m")) for q in grid])
+    j = r.join(tot, list(keys)).filter((F.col("_a") == 0) | ((F.col("_one") == 1) & F.array_contains(picks, F.col("_pos"))))
+    kept = F.col("_tn") - F.col("_cn")
+    j = j.filter((kept >= F.greatest(F.floor(F.col("_tn") * keep), F.lit(1))) & (F.col("_tn") >= min_samples))
+    j = j.select(*keys, F.col("_a").alias("band"), F.try_divide(F.col("_th") - F.col("_ch"), kept).alias("hit_rate"), kept.alias("kept"))
     best = j.groupBy(*keys).agg(F.max_by(F.struct("band", "hit_rate", "kept"), F.struct("hit_rate", -F.col("band"))).alias("_x"))
-    return best.select(*keys, "_x.*")
+    none = F.lit(None)
+    return tot.select(*keys).join(best, list(keys), "left").select(
+        *keys, F.coalesce("_x.band", F.lit(0.0)).alias("band"), F.coalesce(F.col("_x.hit_rate"), none).alias("hit_rate"), F.col("_x.kept").alias("kept"))
 
 
 def windowed_ic(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, x: str = "score", y: str = "fwd_ret") -> DataFrame:

@@ -82,7 +82,7 @@ def pair_correlations(spark, sf):
     return rnd(p.orderBy(F.desc(F.abs("rho")), "a", "b").limit(40))
 
 
-@query("effective_dimension", "ST22", f"with {q.BARS}, {PAIRS}, k as (select count(distinct symbol) as n from bars) select n as n_symbols, {q.rs(6, mean_rho='avg(rho)', effective_dimension='n * n / (n + 2 * sum(rho * rho))')} from pairs, k group by n")
+@query("effective_dimension", "ST22", f"with {q.BARS}, {PAIRS}, k as (select count(distinct symbol) as m from bars) select m as n_symbols, {q.rs(6, mean_rho='avg(rho)', effective_dimension='m * m / (m + 2 * sum(rho * rho))')} from pairs, k group by m")
 def effective_dimension(spark, sf):
     r = returns(spark, sf)
     return rnd(st.participation(st.pair_correlations(r), r))
