@@ -25,7 +25,7 @@ def market_series(returns: DataFrame, ret: str = "ret") -> DataFrame:
     """Equal-weight market: mean available return per date, compounded.  The window runs on one row per date."""
     g = returns.filter(F.col(ret).isNotNull()).groupBy("date").agg(F.avg(ret).alias("market_ret"), F.count(ret).alias("n"))
     w = Window.partitionBy(F.lit(1)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumn("market_price", F.exp(F.sum(F.log1p("market_ret")).over(w)))
+    return g.withColumn("log_price", F.sum(F.log1p("market_ret")).over(w)).withColumn("market_price", F.exp("log_price"))
 
 
 def audit_report(verified: DataFrame, asof: str, drift_gap: float = 0.1, days: int = 30) -> DataFrame:

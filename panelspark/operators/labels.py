@@ -108,10 +108,10 @@ def cross_section(bars: DataFrame) -> DataFrame:
                            "xsec_excess": F.col("ret_1") - F.avg("ret_1").over(day), "xsec_dispersion": F.stddev_samp("ret_1").over(day)})
 
 
-def regime_observations(prices: DataFrame, keys: Sequence[str] = ("symbol",), n: int = 20) -> DataFrame:
-    """Log return and its population deviation over ``n`` rows."""
+def regime_observations(prices: DataFrame, keys: Sequence[str] = ("symbol",), n: int = 20, ret: str | None = None) -> DataFrame:
+    """Log return (of ``close``, or of a simple-return column) and its population deviation over ``n`` rows."""
     s = Series(keys=keys)
-    df = prices.withColumn("log_ret", F.log(F.col("close") / s.lag("close")))
+    df = prices.withColumn("log_ret", F.log1p(ret) if ret else F.log(F.col("close") / s.lag("close")))
     return df.withColumn("vol", s.std_pop("log_ret", n))
 
 

@@ -5,7 +5,7 @@ Driver loops run over folds, arms or pools (at most dozens); the rows stay distr
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 
 from panelspark.operators.order_stats import spearman
 from panelspark.operators.splits import date_offsets, walk_forward
+from panelspark.session import cut_lineage
 
 
 def classifier(kind: str = "gbt", label: str = "target", **params):
     """Unfitted classifier by family: gbt, forest or logistic."""
-    base = {"featuresCol": "_x", "labelCol": label, "predictionCol": "_hat", "probabilityCol": "_prob", "rawPredictionCol": "_raw"}
+    base = {"featuresCol": "_x", "labelCol": label}
     if kind == "gbt":
-        return GBTClassifier(**base, **{"maxIter": 10, "maxDepth": 3, "seed": 7, **params})
+        return GBTClassifier(**base, **{"maxIter": 5, "maxDepth": 3, "seed": 7, **params})
     if kind == "forest":
         return RandomForestClassifier(**base, **{"numTrees": 20, "maxDepth": 5, "seed": 7, **params})
     if kind == "logistic":
@@ -42,34 +43,26 @@ def train(df: DataFrame, features: Sequence[str], label: str = "target", kind: s
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "p_up") -> DataFrame:
-    return model.transform(df).withColumn(out, vector_to_array("_prob")[1]).drop("_v", "_x", "_raw", "_prob", "_hat")
+    return model.transform(df).withColumn(out, vector_to_array("probability")[1]).drop("_v", "_x", "rawPrediction", "probability", "prediction")
 
 
 def walk_forward_scores(panel: DataFrame, features: Sequence[str], label: str = "target", folds: int = 3, purge: int = 5, kind: str = "gbt", **params) -> DataFrame:
     """Out-of-sample probabilities: one fit per fold on the rows before it (minus the purge), union of the test rows."""
     out = None
-    assigned = walk_forward(panel, folds, purge).persist()
-    try:
-        for f in range(folds):
-            part = assigned.filter(F.col("fold") == f)
-            m = train(part.filter(F.col("role") == "train"), features, label, kind, **params)
-            s = score(m, panel.join(_test_rows(panel, folds, f), ["symbol", "date"], "left_semi")).withColumn("fold", F.lit(f))
-            out = s if out is None else out.unionByName(s)
-    finally:
-        assigned.unpersist()
+    assigned = walk_forward(cut_lineage(panel), folds, purge)  # every fold reads the checkpoint, not the feature plan
+    for f in range(folds):
+        part = assigned.filter(F.col("fold") == f)
+        m = train(part.filter(F.col("role") == "train"), features, label, kind, **params)
+        s = score(m, part.filter(F.col("role") == "test")).drop("total", "pos", "role")
+        out = s if out is None else out.unionByName(s)
     return out
 
 
-def _test_rows(panel: DataFrame, folds: int, fold: int) -> DataFrame:
-    w = walk_forward(panel.select("symbol", "date"), folds)
-    return w.filter((F.col("fold") == fold) & (F.col("role") == "test")).select("symbol", "date")
-
-
 def arm_comparison(panel: DataFrame, arms: dict[str, tuple[Sequence[str], str]], label: str = "target", ret: str = "_fwd_ret", folds: int = 3, purge: int = 5) -> DataFrame:
     """Every arm (features, family) on the same rows and folds: out-of-sample IC, hit rate and mean signed return."""
     out = None
     need = sorted({f for fs, _ in arms.values() for f in fs})
-    rows = panel.dropna(subset=[*need, label])
+    rows = cut_lineage(panel.dropna(subset=[*need, label]))
     for name, (fs, kind) in arms.items():
         s = walk_forward_scores(rows, fs, label, folds, purge, kind).withColumn("_s", F.col("p_up") - 0.5)
         g = s.filter(F.col(ret).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(((F.col("_s") > 0) == (F.col(ret) > 0)).cast("double")).alias("hit_rate"), F.avg(F.signum("_s") * F.col(ret)).alias("mean_signed_return"))
@@ -90,7 +83,7 @@ def label_comparison(panel: DataFrame, features: Sequence[str], labels: Sequence
 
 def tune(panel: DataFrame, features: Sequence[str], grid: Sequence[dict], label: str = "target", ret: str = "_fwd_ret", folds: int = 2) -> DataFrame:
     """Mean fold IC of every parameter set over time-ordered folds (never shuffled)."""
-    out = None
+    out, panel = None, cut_lineage(panel)
     for i, p in enumerate(grid):
         s = walk_forward_scores(panel, features, label, folds, **p)
         ic = spearman(s, ["fold"], "p_up", ret).agg(F.avg("ic").alias("mean_ic"), F.count(F.lit(1)).alias("folds")).withColumns({"candidate": F.lit(i), "params": F.lit(str(sorted(p.items())))})
@@ -100,6 +93,7 @@ def tune(panel: DataFrame, features: Sequence[str], grid: Sequence[dict], label:
 
 def train_pools(panel: DataFrame, features: Sequence[str], pool: str, pools: Sequence[str], label: str = "target", kind: str = "logistic") -> dict[str, PipelineModel]:
     """One model per asset class plus the pooled one under the key ``pooled``."""
+    panel = cut_lineage(panel)
     models = {p: train(panel.filter(F.col(pool) == p), features, label, kind) for p in pools}
     models["pooled"] = train(panel, features, label, kind)
     return models
@@ -129,10 +123,10 @@ def retrain(model_features: Sequence[str], old: DataFrame, new: DataFrame, label
 def fit_quality_classifier(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
     """A/B classifier and a quality-score regressor on a quality table; returns the scored rows."""
     v = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
-    cls = GBTClassifier(featuresCol="_x", labelCol=label, predictionCol="_hat", probabilityCol="_prob", rawPredictionCol="_raw", maxIter=5, maxDepth=3, seed=7).fit(v)
+    cls = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=5, maxDepth=3, seed=7).fit(v)
     reg = GBTRegressor(featuresCol="_x", labelCol=label, predictionCol="_score", maxIter=5, maxDepth=3, seed=7).fit(v)
-    s = reg.transform(cls.transform(v)).withColumn("p_a", vector_to_array("_prob")[1])
-    return s.withColumns({"quality_score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_score"))) * 100, "level": F.when(F.col("p_a") >= 0.5, "A").otherwise("B")}).drop("_x", "_hat", "_prob", "_raw", "_score")
+    s = reg.transform(cls.transform(v)).withColumn("p_a", vector_to_array("probability")[1])
+    return s.withColumns({"quality_score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_score"))) * 100, "level": F.when(F.col("p_a") >= 0.5, "A").otherwise("B")}).drop("_x", "prediction", "probability", "rawPrediction", "_score")
 
 
 def mixture_regimes(obs: DataFrame, refit_every: int = 250, start: int = 250, states: int = 3, stay: float = 0.95) -> DataFrame:
@@ -143,8 +137,9 @@ def mixture_regimes(obs: DataFrame, refit_every: int = 250, start: int = 250, st
     date, so the filter state is a short fold.
     """
     names = ["bear", "range", "bull"] if states == 3 else [f"s{i}" for i in range(states)]
-    d = obs.filter(F.col("vol").isNotNull() & F.col("log_ret").isNotNull()).withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("date")))
-    v = VectorAssembler(inputCols=["log_ret", "vol"], outputCol="_v").transform(d).persist()
+    d = obs.filter(F.col("vol").isNotNull() & F.col("log_ret").isNotNull() & ~F.isnan("vol") & ~F.isnan("log_ret")).withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("date")))
+    v = VectorAssembler(inputCols=["log_ret", "vol"], outputCol="_v").transform(d)
+    v = cut_lineage(v)
     total = v.count()
     out = None
     for cut in range(start, total, refit_every):
@@ -156,7 +151,6 @@ def mixture_regimes(obs: DataFrame, refit_every: int = 250, start: int = 250, st
         p = vector_to_array("_prob")
         part = nxt.select("date", "_k", *[p[i].alias(f"_p{j}") for j, i in enumerate(order)])
         out = part if out is None else out.unionByName(part)
-    v.unpersist()
     if out is None:
         return obs.select("date").limit(0).withColumn("regime", F.lit(None).cast("string"))
     return _forward_filter(out, states, stay, names)
@@ -182,5 +176,3 @@ def date_fraction_cut(panel: DataFrame, fraction: float) -> DataFrame:
     """The first date at which ``fraction`` of the rows lies before it (one row)."""
     return date_offsets(panel).filter(F.col("before") >= F.col("total") * fraction).agg(F.min("date").alias("cut"))
 
-
-ScoreFn = Callable[[PipelineModel, DataFrame], DataFrame]

@@ -85,7 +85,7 @@ def cross_section(spark, sf):
 
 
 MARKET = f"""mk0 as (select date, avg(r) as market_ret, count(r) as n from (select date, close / {q.lag('close')} - 1 as r from bars) where r is not null group by 1),
-  market as (select date, market_ret, n, exp(sum(ln(1 + market_ret)) over (order by date rows between unbounded preceding and current row)) as market_price from mk0)"""
+  market as (select date, market_ret, n, sum(ln(1 + market_ret)) over (order by date rows between unbounded preceding and current row) as log_price from mk0)"""
 
 
 def market(spark, sf):
@@ -93,18 +93,18 @@ def market(spark, sf):
     return ag.market_series(derive.bars(spark, sf).select("date", s.pct("close").alias("ret")))
 
 
-@query("market_series", "AG2", f"with {q.BARS}, {MARKET} select {q.D}, n, {q.r('market_ret', 6, 'market_ret')}, {q.r('ln(market_price)', 6, 'log_price')} from market")
+@query("market_series", "AG2", f"with {q.BARS}, {MARKET} select {q.D}, n, {q.r('market_ret', 6, 'market_ret')}, {q.r('log_price', 6, 'log_price')} from market")
 def market_series(spark, sf):
-    return rnd(market(spark, sf).select("date", "n", "market_ret", F.log("market_price").alias("log_price")))
+    return rnd(market(spark, sf).select("date", "n", "market_ret", "log_price"))
 
 
-REGIME = MARKET + """, rg0 as (select date, market_price, ln(market_price / lag(market_price) over (order by date)) as log_ret from market),
+REGIME = MARKET + """, rg0 as (select date, ln(1 + market_ret) as log_ret from market),
   regime as (select *, case when s > 0.02 then 'bull' when s < -0.02 then 'bear' else 'range' end as regime from (select *, coalesce(sum(log_ret) over (order by date rows between 19 preceding and current row), 0.0) as s from rg0))"""
 
 
 def regimes(spark, sf):
-    m = market(spark, sf).withColumnRenamed("market_price", "close").withColumn("pool", F.lit("all"))
-    return lb.rule_regime(lb.regime_observations(m, keys=("pool",)), keys=("pool",))
+    m = market(spark, sf).withColumn("pool", F.lit("all"))
+    return lb.rule_regime(lb.regime_observations(m, keys=("pool",), ret="market_ret"), keys=("pool",))
 
 
 @query("rule_regimes", "XS2 XS3 XS5", f"with {q.BARS}, {REGIME} select {q.D}, regime, case when regime = 'bull' then 1.0::double else 0.0 end as regime_bull, case when regime = 'range' then 1.0::double else 0.0 end as regime_range, case when regime = 'bear' then 1.0::double else 0.0 end as regime_bear, {q.rs(6, log_ret='log_ret', vol=q.avg('log_ret', 20, w='order by date', f='stddev_pop'))} from regime")

@@ -71,8 +71,8 @@ def incremental_retrain(spark, sf):
 
 @query("mixture_regimes", "XS4", None)
 def mixture_regimes(spark, sf):
-    m = market(spark, sf).withColumnRenamed("market_price", "close").withColumn("pool", F.lit("all"))
-    return rnd(ml.mixture_regimes(lb.regime_observations(m, keys=("pool",)), refit_every=500, start=500))
+    m = market(spark, sf).withColumn("pool", F.lit("all"))
+    return rnd(ml.mixture_regimes(lb.regime_observations(m, keys=("pool",), ret="market_ret"), refit_every=500, start=500))
 
 
 @query("regime_ic", "AG8 XS4", None)
@@ -80,8 +80,8 @@ def regime_ic(spark, sf):
     """Rank correlation of the score inside each mixture regime."""
     from panelspark.operators.order_stats import spearman
 
-    m = market(spark, sf).withColumnRenamed("market_price", "close").withColumn("pool", F.lit("all"))
-    r = ml.mixture_regimes(lb.regime_observations(m, keys=("pool",)), refit_every=500, start=500)
+    m = market(spark, sf).withColumn("pool", F.lit("all"))
+    r = ml.mixture_regimes(lb.regime_observations(m, keys=("pool",), ret="market_ret"), refit_every=500, start=500)
     s = derive.scores(derive.bars(spark, sf), horizons=(5,)).join(r, "date")
     return rnd(spearman(s, ["regime"], "p_up", "fwd_ret"))
 

@@ -1,0 +1 @@
+"""Structured Streaming forms of the snapshot, bar and drift operators."""
