@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.order_stats import average_rank
+from panelspark.operators.order_stats import with_average_rank
 from panelspark.operators.windows import Series
 
 S = Series()
@@ -94,18 +94,15 @@ def windows_dataset(bars: DataFrame, columns: Sequence[str], lookback: int, hori
     return df.withColumns(seq).select("symbol", "date", *seq, F.col("_y").alias("target_path"))
 
 
-# ---- cross-section: one date holds at most one row per symbol
+# ---- cross-section
 def cross_section(bars: DataFrame) -> DataFrame:
     """Percent ranks of the 1-row return and 20-row momentum, excess over the pool mean, and dispersion, per date."""
     df = bars.withColumns({"ret_1": S.pct("close"), "mom_20": S.pct("close", 20)})
-    day = Window.partitionBy("date")
-
-    def pct_rank(c):
-        # nulls sort first: shift their count off the rank
-        return F.when(F.col(c).isNotNull(), (average_rank(c, ["date"]) - (F.count(F.lit(1)).over(day) - F.count(c).over(day))) / F.count(c).over(day))
-
-    return df.withColumns({"xsec_ret_rank": pct_rank("ret_1"), "xsec_mom_rank": pct_rank("mom_20"),
-                           "xsec_excess": F.col("ret_1") - F.avg("ret_1").over(day), "xsec_dispersion": F.stddev_samp("ret_1").over(day)})
+    df = with_average_rank(with_average_rank(df, ["date"], "ret_1", "_a"), ["date"], "mom_20", "_b")
+    day = df.groupBy("date").agg(F.count("ret_1").alias("_na"), F.count("mom_20").alias("_nb"), F.avg("ret_1").alias("_m"), F.stddev_samp("ret_1").alias("xsec_dispersion"))
+    j = df.join(day, "date")
+    return j.withColumns({"xsec_ret_rank": F.col("_a") / F.col("_na"), "xsec_mom_rank": F.col("_b") / F.col("_nb"),
+                          "xsec_excess": F.col("ret_1") - F.col("_m")}).drop("_a", "_b", "_na", "_nb", "_m")
 
 
 def regime_observations(prices: DataFrame, keys: Sequence[str] = ("symbol",), n: int = 20, ret: str | None = None) -> DataFrame:

@@ -31,10 +31,15 @@ def is_small(df: DataFrame, force: bool | None = None) -> bool:
     return input_bytes(df) <= SMALL_INPUT if force is None else force
 
 
+def _order_value(order: Sequence[str]) -> Column:
+    """One column as itself (keeps the sample in the hash aggregate), several as a struct."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def _edges(df: DataFrame, keys: Sequence[str], order: Sequence[str], classes: int) -> DataFrame:
     sample = (
         df.groupBy(*keys, F.pmod(F.xxhash64(*order), F.lit(classes)).alias("_class"))
-        .agg(F.min_by(F.struct(*order), F.xxhash64(F.lit(17), *order)).alias("_e"))
+        .agg(F.min_by(_order_value(order), F.xxhash64(F.lit(17), *order)).alias("_e"))
     )
     return sample.groupBy(*keys).agg(F.array_sort(F.collect_list("_e")).alias("_edges"))
 
@@ -62,25 +67,31 @@ def bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str], classes:
     if not keys:
         e = F.broadcast(e)  # exactly one row of at most ``classes`` keys
     out = df.join(e, ks)
-    return out.withColumn("_b", _locate(F.col("_edges"), F.struct(*order), classes)).drop("_edges")
+    return out.withColumn("_b", _locate(F.col("_edges"), _order_value(order), classes)).drop("_edges")
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str],
-                classes: int = CLASSES, small: bool | None = None) -> DataFrame:
-    """Adds inclusive running sums ``{new: column}`` along ``order`` (which must be unique within ``keys``)."""
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str] | None = None,
+            maxes: dict[str, str] | None = None, classes: int = CLASSES, small: bool | None = None) -> DataFrame:
+    """Adds inclusive running sums and maxima ``{new: column}`` along ``order`` (unique within ``keys``)."""
+    aggs = [(n, c, F.sum, lambda x, o: x + F.coalesce(o, F.lit(0))) for n, c in (sums or {}).items()]
+    aggs += [(n, c, F.max, lambda x, o: F.greatest(x, o)) for n, c in (maxes or {}).items()]
     if is_small(df, small):
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
+        return df.select("*", *[fn(c).over(w).alias(n) for n, c, fn, _ in aggs])
     ks = list(keys) or ["_all"]
     b = bucketed(df, keys, order, classes)
     prev = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = b.groupBy(*ks, "_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    offsets = totals.select(*ks, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(prev), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    totals = b.groupBy(*ks, "_b").agg(*[fn(c).alias(f"_t_{n}") for n, c, fn, _ in aggs])
+    offsets = totals.select(*ks, "_b", *[fn(f"_t_{n}").over(prev).alias(f"_o_{n}") for n, _, fn, _ in aggs])
     inside = Window.partitionBy(*ks, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = b.join(offsets, [*ks, "_b"])
-    for n, c in sums.items():
-        out = out.withColumn(n, F.sum(c).over(inside) + F.col(f"_o_{n}"))
-    return out.drop("_b", *[f"_o_{n}" for n in sums], *([] if keys else ["_all"]))
+    out = out.withColumns({n: join(fn(c).over(inside), F.col(f"_o_{n}")) for n, c, fn, join in aggs})
+    return out.drop("_b", *[f"_o_{n}" for n, *_ in aggs], *([] if keys else ["_all"]))
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str], classes: int = CLASSES,
+                small: bool | None = None) -> DataFrame:
+    return running(df, keys, order, sums, None, classes, small)
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos", classes: int = CLASSES,
@@ -137,6 +148,15 @@ def average_rank(value: str, keys: Sequence[str]) -> Column:
     return F.rank().over(w) + (F.count(F.lit(1)).over(w.rangeBetween(0, 0)) - 1) / 2.0
 
 
+def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, small: bool | None = None) -> DataFrame:
+    """Adds the tie-averaged rank among the non-null values of the group; null where the value is null."""
+    if is_small(df, small):
+        nulls = F.count(F.lit(1)).over(Window.partitionBy(*keys)) - F.count(value).over(Window.partitionBy(*keys))  # nulls sort first
+        return df.withColumn(name, F.when(F.col(value).isNotNull(), average_rank(value, keys) - nulls))
+    r = value_ranks(df.filter(F.col(value).isNotNull()), keys, value, small=False).select(*keys, value, F.col("rank").alias(name))
+    return df.join(r, [*keys, value], "left").select(*df.columns, name)
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], classes: int = CLASSES,
               small: bool | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles: (keys, prob, q).  Only the buckets holding a wanted rank are sorted."""

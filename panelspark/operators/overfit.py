@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import normal_cdf, normal_ppf
 from panelspark.operators.order_stats import positions, quantile_array, running_sum
+from panelspark.operators.windows import by_series
 
 EULER = 0.5772156649015329
 
@@ -92,9 +93,9 @@ def pbo_cscv(returns: DataFrame, trial: str, order: str, ret: str = "ret", n_blo
     days = days.join(F.broadcast(n)).withColumn("block", F.floor(F.col("_d") / F.floor(F.col("_n") / n_blocks))).filter(F.col("block") < n_blocks)
     b = returns.join(days.select(order, "block"), order).groupBy(trial, "block").agg(
         F.count(F.lit(1)).alias("n"), F.sum(ret).alias("s"), F.sum(F.col(ret) * F.col(ret)).alias("q"))
-    masks = returns.sparkSession.range(1 << n_blocks).filter(F.bit_count("id") == n_blocks // 2).withColumnRenamed("id", "mask")
     sums = b.groupBy(trial).agg(F.collect_list(F.struct("block", "n", "s", "q")).alias("_b"))  # n_blocks structs per trial
-    j = masks.join(F.broadcast(sums))  # trials x n_blocks sums: bounded by the trial registry
+    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << n_blocks) - 1)), lambda m: F.bit_count(m) == n_blocks // 2)
+    j = by_series(sums.withColumn("mask", F.explode(masks)), ("mask",))
 
     def part(inside: int):
         sel = F.filter("_b", lambda x: F.getbit(F.col("mask"), x["block"].cast("int")) == inside)

@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.labels import rule_regime  # noqa: F401  (re-exported for regime-conditioned selections)
+from panelspark.operators.order_stats import positions
 
 
 def top_quantile(scores: DataFrame, q: float = 0.3, score: str = "p_up", min_pool: int = 3, min_buys: int = 3) -> DataFrame:
     """Per date the max(1, round(q n)) best symbols (half-even rounding); dates under ``min_pool`` names are skipped,
-    symbols with fewer than ``min_buys`` selections dropped.  A date holds one row per symbol."""
-    day = Window.partitionBy("date")
-    d = scores.filter(F.col(score).isNotNull()).withColumns({"_n": F.count(F.lit(1)).over(day), "_k": F.row_number().over(day.orderBy(F.desc(score), "symbol"))})
+    symbols with fewer than ``min_buys`` selections dropped."""
+    have = scores.filter(F.col(score).isNotNull()).withColumn("_neg", -F.col(score))
+    n = have.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
+    d = positions(have, ["date"], ["_neg", "symbol"], "_k").join(n, "date").drop("_neg")
     sel = d.filter((F.col("_n") >= min_pool) & (F.col("_k") <= F.greatest(F.lit(1), F.bround(F.col("_n") * q))))
     n = sel.groupBy("symbol").agg(F.count(F.lit(1)).alias("_b")).filter(F.col("_b") >= min_buys)
     return sel.join(n.select("symbol"), "symbol", "left_semi").withColumnRenamed("_k", "rank").drop("_n")

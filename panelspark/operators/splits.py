@@ -11,6 +11,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.order_stats import positions
+
 
 def date_offsets(df: DataFrame) -> DataFrame:
     """(date, n, before, total): rows per date, rows before it, all rows.  One row per date."""
@@ -20,10 +22,10 @@ def date_offsets(df: DataFrame) -> DataFrame:
 
 
 def global_positions(df: DataFrame) -> DataFrame:
-    """Adds ``pos`` (0-based over date, symbol) and ``total``; a date holds at most one row per symbol."""
+    """Adds ``pos`` (0-based over date, symbol) and ``total``."""
     off = date_offsets(df).select("date", "before", "total")
-    w = Window.partitionBy("date").orderBy("symbol")
-    return df.withColumn("_k", F.row_number().over(w) - 1).join(off, "date").withColumn("pos", F.col("before") + F.col("_k")).drop("before", "_k")
+    k = positions(df, ["date"], ["symbol"], "_k")
+    return k.join(off, "date").withColumn("pos", F.col("before") + F.col("_k") - 1).drop("before", "_k")
 
 
 def walk_forward(df: DataFrame, folds: int = 5, purge: int = 0) -> DataFrame:

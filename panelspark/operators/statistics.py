@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import two_sided_p
-from panelspark.operators.order_stats import positions, running_sum, spearman, value_ranks
+from panelspark.operators.order_stats import positions, running, running_sum, spearman, value_ranks
 from panelspark.operators.windows import Series, pearson
 
 COST_TIERS = {"conservative": 0.00125, "base": 0.00075, "aggressive": 0.00030}  # fixed one-side costs
@@ -189,12 +191,32 @@ def partial_spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, z: str,
 
 
 def pair_correlations(returns: DataFrame, ret: str = "ret", min_periods: int = 60) -> DataFrame:
-    """Pairwise-complete Pearson correlations (a < b).  Joined on date: each date contributes its pool's pairs, the
-    output size of a correlation matrix; keep it to pools of at most a few thousand symbols."""
+    """Pairwise-complete Pearson correlations (a < b) of a pool of up to a few thousand symbols.
+
+    Dates are hashed over the tasks; each task keeps the pair sums of its own dates as matrices and emits every pair
+    once, so the shuffle carries tasks x pairs rows instead of dates x pairs.
+    """
     x = returns.filter(F.col(ret).isNotNull()).select("symbol", "date", F.col(ret).alias("r"))
-    j = x.alias("a").join(x.alias("b"), (F.col("a.date") == F.col("b.date")) & (F.col("a.symbol") < F.col("b.symbol")))
-    g = j.groupBy(F.col("a.symbol").alias("a"), F.col("b.symbol").alias("b")).agg(F.count(F.lit(1)).alias("n"), pearson("a.r", "b.r").alias("rho"))
-    return g.filter(F.col("n") >= min_periods)
+    parts = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = list(batches)
+        if not rows:
+            return
+        wide = pd.concat(rows).pivot(index="date", columns="symbol", values="r")
+        v, names = wide.to_numpy(), wide.columns.to_numpy()
+        m = np.isfinite(v).astype(float)
+        z = np.where(m > 0, v, 0.0)
+        i, j = np.triu_indices(len(names), 1)
+        n, sab, sa, qa = m.T @ m, z.T @ z, z.T @ m, (z * z).T @ m  # sa[i, j]: sum of i where j is present
+        yield pd.DataFrame({"a": names[i], "b": names[j], "n": n[i, j], "xy": sab[i, j], "x": sa[i, j], "y": sa[j, i], "xx": qa[i, j], "yy": qa[j, i]})
+
+    s = x.repartition(parts, "date").mapInPandas(sums, "a string, b string, n double, xy double, x double, y double, xx double, yy double")
+    s = s.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "xy", *[F.when(F.col("a") < F.col("b"), F.col(p)).otherwise(F.col(o)).alias(p) for p, o in (("x", "y"), ("y", "x"), ("xx", "yy"), ("yy", "xx"))])
+    g = s.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "xy", "x", "y", "xx", "yy")]).filter(F.col("n") >= min_periods)
+    n, vx, vy = F.col("n"), F.col("xx") - F.col("x") * F.col("x") / F.col("n"), F.col("yy") - F.col("y") * F.col("y") / F.col("n")
+    rho = F.when((vx > 0) & (vy > 0), (F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(F.when((vx > 0) & (vy > 0), vx * vy)))
+    return g.select("a", "b", n.cast("long").alias("n"), rho.alias("rho"))
 
 
 def participation(pairs: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -228,9 +250,8 @@ def trading_metrics(df: DataFrame, keys: Sequence[str], order: Sequence[str], p:
     """Accuracy, precision, recall, F1, Sharpe, drawdown of the cumulative sum, profit factor (capped at 999)."""
     d = df.filter(F.col(y).isNotNull()).withColumn("_hat", (F.col(p) > 0.5).cast("int"))
     d = d.withColumn("_pnl", F.when(F.col("_hat") == 1, F.col(ret)).otherwise(-F.col(ret)))
-    run = running_sum(d, keys, order, {"_cum": "_pnl"})
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    dd = run.withColumn("_dd", F.col("_cum") - F.greatest(F.max("_cum").over(w), F.lit(0.0)))
+    peak = running(running_sum(d, keys, order, {"_cum": "_pnl"}), keys, order, maxes={"_peak": "_cum"})
+    dd = peak.withColumn("_dd", F.col("_cum") - F.greatest("_peak", F.lit(0.0)))
     h, t, pnl = F.col("_hat"), F.col(y), F.col("_pnl")
 
     def n(c):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -89,7 +89,7 @@ def poll_summary(spark, sf):
 
 
 def _run(stream, path, mode="append"):
-    root = tempfile.mkdtemp(prefix="spark-", dir=path) if "://" not in path else path + "/stream"
+    root = f"{path}/stream-{uuid.uuid4().hex}"
     w = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck")
     w.trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.parquet(f"{root}/out")
