@@ -120,3 +120,10 @@ def open_repair(spark, sf):
                    F.col("high"), F.col("low"), F.regexp_replace(F.col("close").cast("string"), r"^(\d)(\d{3}\.)", "$1,$2").alias("close"), "volume",
                    F.lit(None).cast("string").alias("amount"))
     return rnd(cl.repair_open(raw).select("symbol", "date", "open", "close", "amount"))
+
+
+@query("fresh_source", "RM19", f"select o_orderpriority, count(*) as n, {q.r('sum(o_totalprice)', 2, 'total')} from orders group by 1")
+def fresh_source(spark, sf):
+    """Cached files younger than the time to live, by file modification time (here the whole orders table is fresh)."""
+    o = readers.fresh_files(spark, f"{sf}/orders.parquet", 3600, "2000-01-01 00:00:00")
+    return rnd(o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), 2)

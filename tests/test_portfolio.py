@@ -121,3 +121,15 @@ def test_partial_correlation_matches_residual_form(spark):
     q = pdf[["x", "y", "z"]].rank()
     res = [q[c] - np.polyval(np.polyfit(q["z"], q[c], 1), q["z"]) for c in ("x", "y")]
     assert abs(got - np.corrcoef(*res)[0, 1]) < 1e-9
+
+
+def test_topk_dropout_and_all_in(spark):
+    days = pd.date_range("2026-01-01", periods=3).date
+    p = [[0.9, 0.8, 0.1, 0.2], [0.1, 0.8, 0.9, 0.2], [0.1, 0.2, 0.9, 0.8]]
+    rows = [("x", d, s, p[i][j]) for i, d in enumerate(days) for j, s in enumerate("ABCD")]
+    h = pf.topk_dropout(spark.createDataFrame(rows, "plan string, date date, symbol string, p_up double"), 2, 1, 1).toPandas()
+    held = h.groupby("date")["symbol"].apply(lambda s: "".join(sorted(s))).tolist()
+    assert held == ["AB", "BC", "CD"]  # at most one name is replaced per date
+    path = spark.createDataFrame([("A", d, px, pos) for d, px, pos in zip(days, (100.0, 110.0, 110.0), (1, 1, 0), strict=True)], "symbol string, date date, price double, position int")
+    r = pf.all_in_simulator(path, capital=1000.0, fee=0.0).first()
+    assert r["final_equity"] == pytest.approx(1100.0) and r["trades"] == 2  # idle cash is kept when closing
