@@ -49,13 +49,13 @@ def score(model: PipelineModel, df: DataFrame, out: str = "p_up") -> DataFrame:
 def walk_forward_scores(panel: DataFrame, features: Sequence[str], label: str = "target", folds: int = 3, purge: int = 5, kind: str = "gbt", **params) -> DataFrame:
     """Out-of-sample probabilities: one fit per fold on the rows before it (minus the purge), union of the test rows."""
     out = None
-    assigned = walk_forward(cut_lineage(panel), folds, purge)  # every fold reads the checkpoint, not the feature plan
+    assigned = cut_lineage(walk_forward(panel, folds, purge))  # every fold reads the checkpoint, not the feature plan
     for f in range(folds):
         part = assigned.filter(F.col("fold") == f)
         m = train(part.filter(F.col("role") == "train"), features, label, kind, **params)
         s = score(m, part.filter(F.col("role") == "test")).drop("total", "pos", "role")
         out = s if out is None else out.unionByName(s)
-    return out
+    return cut_lineage(out)  # scored once, however often it is read
 
 
 def arm_comparison(panel: DataFrame, arms: dict[str, tuple[Sequence[str], str]], label: str = "target", ret: str = "_fwd_ret", folds: int = 3, purge: int = 5) -> DataFrame:
