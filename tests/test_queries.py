@@ -29,4 +29,4 @@ def test_matches_sql(spark, sf, con, name):
 
 def test_entry(spark, sf):
     assert entry.entry(spark).columns == ["symbol", "n", "ic"]
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(IDS) == set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(IDS) == set(QUERIES) <= set(entry.queries())
