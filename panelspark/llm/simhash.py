@@ -81,21 +81,20 @@ def links(fps: DataFrame, distance: int, accept=None) -> tuple[DataFrame, DataFr
     seen = key.orderBy("fp")
     far = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
     spread = fps.select("fp", F.explode(signatures(F.col("fp"), distance)).alias("key"))
-    bucket = spread.select("key", "fp", F.first("fp").over(seen).alias("head"), F.lag("fp").over(seen).alias("prev"), F.lead("fp").over(seen).alias("next")).where("prev is not null or next is not null")
+    bucket = spread.select("key", "fp", F.first("fp").over(seen).alias("head"), F.lag("fp").over(seen).alias("prev"), F.count("*").over(key).alias("n")).where("n > 1")
     bucket, path = kept.write(bucket)
     first = bucket.where(far("fp", "prev") <= distance).select(F.col("fp").alias("a"), F.col("prev").alias("b")).unionByName(bucket.where((F.col("head") != F.col("fp")) & (far("fp", "head") <= distance)).select(F.col("fp").alias("a"), F.col("head").alias("b")))
     first, _ = kept.write(accept(first.distinct()))
     label = components(first)
-    # what is left: pairs of different components that share a bucket
-    of = bucket.select("key", "fp").join(label.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    of, of_path = kept.write(of)
-    counts = of.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-    mixed = of.join(main, "key")
+    # what is left: pairs of different components in buckets of four and more; in smaller ones every pair has been compared
+    of = bucket.where("n > 3").select("key", "fp").join(label.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    own = of.withColumn("size", F.count("*").over(Window.partitionBy("key", "root")))
+    mixed = own.select("key", "fp", "root", F.max(F.struct("size", "root")).over(key)["root"].alias("main"), F.min("root").over(key).alias("lo"), F.max("root").over(key).alias("hi")).where("lo <> hi").drop("lo", "hi")
+    mixed, mixed_path = kept.write(mixed)
     few = mixed.where("root <> main").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
     pairs = few.join(mixed.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"), "main"), "key").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & (far("a", "b") <= distance))
     second, _ = kept.write(accept(pairs.select("a", "b").distinct()))
-    kept.drop(of_path)
+    kept.drop(mixed_path)
     kept.drop(path)
     if second.limit(1).count():
         label = components(first.unionByName(second))
