@@ -94,20 +94,27 @@ def align_features(df: DataFrame, contract: Sequence[str], keep: Sequence[str] =
     return df.select(*keep, *[F.col(c) if c in df.columns else F.lit(0.0).alias(c) for c in contract])
 
 
-# fixed values: feature families by name prefix (first match wins), then by contained token
+# Feature families by name prefix (first match wins), then by contained text.
 FAMILY_PREFIXES = [
-    ("returns", ["ret_"]), ("macd", ["macd"]), ("boll", ["boll_"]), ("rsi", ["rsi"]), ("kama", ["kama"]), ("ma", ["ma_"]),
-    ("trend_extra", ["ema_", "wma_", "dema_", "tema_", "trima_", "adx", "aroon_", "vortex_", "vi_", "trix"]),
-    ("momentum", ["kdj_", "stoch_", "willr", "roc", "mom", "cci", "cmo", "tsi"]),
-    ("volatility", ["volatility", "atr", "natr", "stddev", "mass_index", "choppiness"]),
-    ("volume", ["volume_ratio", "obv", "vwap", "mfi", "cmf", "ad_line", "pvt", "nvi", "force_index", "eom"]),
-    ("structure", ["pivot", "r1", "s1", "r2", "s2"]), ("candle", ["doji", "hammer", "engulfing", "morning_star"]),
+    ("returns", ["ret_"]), ("boll", ["boll_"]), ("ma", ["ma_"]), ("trend_extra", ["ema_", "wma_", "dema_", "tema_", "trima_"]), ("momentum", ["kdj_", "stoch_", "aroon_"]),
     ("factor", ["factor_"]), ("macro", ["macro_"]),
 ]
-FAMILY_TOKENS = [("volatility", ["vol"]), ("returns", ["ret"])]
-RECIPES = {  # subset name -> families (None = all)
-    "all": None, "trend": ["ma", "trend_extra", "macd", "kama"], "momentum": ["returns", "momentum", "rsi"], "volatility": ["volatility", "boll"],
-    "volume": ["volume"], "price_only": ["returns", "ma", "boll", "rsi", "macd"], "candle": ["candle", "structure"], "factor": ["factor"],
+FAMILY_TOKENS = [
+    ("kama", ["kama"]), ("macd", ["macd"]), ("rsi", ["rsi"]), ("trend_extra", ["adx", "adxr", "vortex_", "trix"]), ("momentum", ["willr", "roc", "mom", "cci", "cmo", "tsi"]),
+    ("volatility", ["volatility", "atr", "natr", "stddev", "mass_index", "choppiness", "boll_width"]),
+    ("volume", ["volume_ratio", "obv", "vwap", "mfi", "cmf", "ad_line", "pvt", "nvi", "force_index", "eom"]), ("structure", ["pivot", "r1", "s1", "r2", "s2"]),
+    ("candle", ["doji", "hammer", "engulfing", "morning_star"]),
+]
+# Subset name -> families (None: all).
+RECIPES = {
+    "full": None,
+    "no_duplicate_trend": ["returns", "macd", "boll", "rsi", "ma", "kama", "momentum", "volatility", "volume", "structure", "candle", "factor", "macro"],
+    "no_ma_family": ["returns", "macd", "boll", "rsi", "kama", "trend_extra", "momentum", "volatility", "volume", "structure", "candle", "factor", "macro"],
+    "classic_only": ["returns", "macd", "boll", "rsi", "ma", "volume", "volatility"],
+    "compact": ["returns", "rsi", "ma", "volatility", "volume", "factor"],
+    "returns_only": ["returns"],
+    "no_macro": ["returns", "macd", "boll", "rsi", "ma", "kama", "trend_extra", "momentum", "volatility", "volume", "structure", "candle", "factor"],
+    "no_factor": ["returns", "macd", "boll", "rsi", "ma", "kama", "trend_extra", "momentum", "volatility", "volume", "structure", "candle", "macro"],
 }
 
 

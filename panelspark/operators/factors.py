@@ -258,7 +258,7 @@ def factor_weights(ic: DataFrame, top_n: int = 8, min_abs_ic: float = 0.005, shr
                                               (F.col("_f") / nonzero("_ft", 1.0)).alias("weight"))
 
 
-def factor_ic(panel: DataFrame, factors: Sequence[str], target: str, bounded: bool | None = None) -> DataFrame:
+def factor_ic(panel: DataFrame, factors: Sequence[str], target: str, bounded: bool = False) -> DataFrame:
     """Rank correlation of every factor with the target, all factors in one pass."""
     long = to_long(panel.withColumns({f: F.coalesce(finite(f), F.lit(0.0)) for f in factors}), factors, keep=("symbol", "date", target))
     return spearman(long, ["factor"], "value", target, bounded=bounded)

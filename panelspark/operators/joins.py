@@ -7,23 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.order_stats import bucketed, is_small
+from panelspark.operators.order_stats import bucketed, join_same
 from panelspark.operators.windows import Series
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str, columns: Sequence[str],
-              tie: str | None = None, small: bool | None = None) -> DataFrame:
+              tie: str | None = None, small: bool = False) -> DataFrame:
     """Latest right row at or before each left row, per ``keys`` (which may be empty).
 
     Both sides are unioned and cut into time buckets; the last right row of each bucket is carried to the following
-    buckets, so no key is handled by a single task.  Columns come back as ``asof_<name>`` plus ``asof_<on>``.
+    buckets, so no key is handled by a single task (``small=True``: a key's rows are few by contract).  Null keys match null keys.  Columns come back as ``asof_<name>`` plus ``asof_<on>``.
     """
     val = F.struct(on, *([tie] if tie else []), *[c for c in columns if c != tie])
     r = right.select(*keys, on, val.alias("_r"), F.lit(0).alias("_side"))
     lf = left.withColumn("_l", F.struct(*left.columns)).select(*keys, on, "_l", F.lit(1).alias("_side"))
     u = lf.unionByName(r, allowMissingColumns=True)
     ks = list(keys) or ["_all"]
-    if is_small(u, small):
+    if small:
         w = Window.partitionBy(*keys).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
         out = u.withColumn("_hit", F.max("_r").over(w))
     else:
@@ -32,7 +32,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str, c
         prev = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         carry = last.select(*ks, "_b", F.max("_last").over(prev).alias("_carry"))
         w = Window.partitionBy(*ks, "_b").orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-        out = b.join(carry, [*ks, "_b"]).withColumn("_hit", F.coalesce(F.max("_r").over(w), "_carry"))
+        out = join_same(b, carry, [*ks, "_b"]).withColumn("_hit", F.coalesce(F.max("_r").over(w), "_carry"))
     out = out.filter(F.col("_side") == 1)
     return out.select("_l.*", F.col(f"_hit.{on}").alias(f"asof_{on}"), *[F.col(f"_hit.{c}").alias(f"asof_{c}") for c in columns])
 

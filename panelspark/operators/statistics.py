@@ -246,25 +246,32 @@ def auc(df: DataFrame, keys: Sequence[str], score: str = "p_up", label: str = "y
     return j.withColumn("auc", F.try_divide(F.col("_rs") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * neg)).drop("_rs")
 
 
-def trading_metrics(df: DataFrame, keys: Sequence[str], order: Sequence[str], p: str = "p_up", y: str = "y", ret: str = "fwd_ret", periods: int = 252) -> DataFrame:
-    """Accuracy, precision, recall, F1, Sharpe, drawdown of the cumulative sum, profit factor (capped at 999)."""
-    d = df.filter(F.col(y).isNotNull()).withColumn("_hat", (F.col(p) > 0.5).cast("int"))
-    d = d.withColumn("_pnl", F.when(F.col("_hat") == 1, F.col(ret)).otherwise(-F.col(ret)))
-    peak = running(running_sum(d, keys, order, {"_cum": "_pnl"}), keys, order, maxes={"_peak": "_cum"})
-    dd = peak.withColumn("_dd", F.col("_cum") - F.greatest("_peak", F.lit(0.0)))
-    h, t, pnl = F.col("_hat"), F.col(y), F.col("_pnl")
+def trading_metrics(df: DataFrame, keys: Sequence[str], order: Sequence[str], p: str = "p_up", y: str = "y", ret: str = "fwd_ret", horizon: int | str = 1, fee: float = 0.0) -> DataFrame:
+    """Classification scores and the net result of going long above 0.5 and short otherwise.
+
+    A row nets its signed return (null: 0) less ``fee`` on both sides.  The ratio of mean and population deviation is annualised by sqrt(252 / horizon)
+    (a number, or a column that is constant within ``keys``); the drawdown is that of the running sum from its own peak; the profit factor is 999
+    where nothing was lost, and then marked.
+    """
+    h_days = F.col(horizon) if isinstance(horizon, str) else F.lit(horizon)
+    d = df.filter(F.col(y).isNotNull()).withColumn("_hat", (F.col(p) > 0.5).cast("int")).withColumn("_ann", F.sqrt(252.0 / F.greatest(h_days, F.lit(1))))
+    gross = F.coalesce(F.when(F.col("_hat") == 1, F.col(ret)).otherwise(-F.col(ret)), F.lit(0.0))
+    d = d.withColumn("_net", gross - 2 * fee)
+    peak = running(running_sum(d, keys, order, {"_cum": "_net"}), keys, order, maxes={"_peak": "_cum"})
+    h, t, net = F.col("_hat"), F.col(y), F.col("_net")
 
     def n(c):
         return F.sum(c.cast("long"))
 
-    g = dd.groupBy(*keys).agg(
+    g = peak.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg((h == t).cast("double")).alias("accuracy"), n((h == 1) & (t == 1)).alias("_tp"), n(h == 1).alias("_pp"), n(t == 1).alias("_ap"),
-        F.avg(pnl).alias("_m"), F.stddev_samp(pnl).alias("_s"), F.min("_dd").alias("max_drawdown"), F.sum(F.when(pnl > 0, pnl).otherwise(0.0)).alias("_win"),
-        F.sum(F.when(pnl < 0, -pnl).otherwise(0.0)).alias("_loss"))
+        F.avg(net).alias("_m"), F.stddev_pop(net).alias("_s"), F.max("_ann").alias("_ann"), F.min(F.col("_cum") - F.col("_peak")).alias("max_drawdown"),
+        F.sum(F.when(net > 0, net).otherwise(0.0)).alias("_win"), F.sum(F.when(net < 0, -net).otherwise(0.0)).alias("_loss"), F.sum(net).alias("total_return"), F.avg((net > 0).cast("double")).alias("win_rate"))
     pr, rc = F.coalesce(F.try_divide(F.col("_tp"), F.col("_pp")), F.lit(0.0)), F.coalesce(F.try_divide(F.col("_tp"), F.col("_ap")), F.lit(0.0))
     return g.select(*keys, "n", "accuracy", pr.alias("precision"), rc.alias("recall"), F.coalesce(F.try_divide(2 * pr * rc, pr + rc), F.lit(0.0)).alias("f1"),
-                    F.coalesce(F.try_divide(F.col("_m"), F.col("_s")) * math.sqrt(periods), F.lit(0.0)).alias("sharpe"), "max_drawdown",
-                    F.least(F.coalesce(F.try_divide(F.col("_win"), F.col("_loss")), F.lit(999.0)), F.lit(999.0)).alias("profit_factor"))
+                    F.when(F.col("_s") > 0, F.col("_m") / F.col("_s") * F.col("_ann")).otherwise(0.0).alias("sharpe"), "max_drawdown",
+                    F.when(F.col("_loss") > 0, F.col("_win") / F.col("_loss")).otherwise(999.0).alias("profit_factor"), (F.col("_loss") <= 0).alias("profit_factor_is_capped"),
+                    "total_return", "win_rate")
 
 
 def paired_t(df: DataFrame, keys: Sequence[str], delta: str) -> DataFrame:

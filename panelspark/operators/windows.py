@@ -71,29 +71,15 @@ class Series:
         return F.row_number().over(self.w)
 
     def with_zscore(self, df: DataFrame, columns: Sequence[str], n: int, min_periods: int, suffix: str = "_z") -> DataFrame:
-        """Adds trailing z-scores from differences of running sums: constant work per row for any window length.
+        """Adds trailing z-scores: every number comes from the ``n`` rows up to the row itself.
 
-        Values are centred on the series mean first so the differences keep their digits; a window whose variance is
-        below 1e-13 of the series variance counts as flat and scores 0, as does one with too few values.
+        A window with too few values, or whose values are all equal, scores 0, and so does a null value.
         """
-        whole, upto = Window.partitionBy(*self.keys), self.w.rowsBetween(Window.unboundedPreceding, 0)
-        base = df.columns
-        df = df.withColumns({f"{c}__m": F.avg(c).over(whole) for c in columns} | {f"{c}__v": F.var_pop(c).over(whole) for c in columns})
-        x = {c: F.col(c) - F.col(f"{c}__m") for c in columns}
-        run = {}
+        fr, z = self.frame(n), {}
         for c in columns:
-            run |= {f"{c}__n": F.count(c).over(upto), f"{c}__s": F.sum(x[c]).over(upto), f"{c}__q": F.sum(x[c] * x[c]).over(upto)}
-        df = df.withColumns(run)
-        df = df.withColumns({f"{k}0": F.lag(k, n, 0).over(self.w) if k.endswith("__n") else F.lag(k, n, 0.0).over(self.w) for k in run})
-        part = {}
-        for c in columns:
-            m = F.col(f"{c}__n") - F.col(f"{c}__n0")
-            s, q = F.coalesce(f"{c}__s", F.lit(0.0)) - F.coalesce(f"{c}__s0", F.lit(0.0)), F.coalesce(f"{c}__q", F.lit(0.0)) - F.coalesce(f"{c}__q0", F.lit(0.0))
-            part |= {f"{c}__k": m, f"{c}__mu": F.when(m > 0, s / m), f"{c}__var": F.when(m > 1, (q - s * s / F.when(m > 0, m)) / (m - 1))}
-        df = df.withColumns(part)
-        z = {c + suffix: F.coalesce(F.when((F.col(f"{c}__k") >= min_periods) & (F.col(f"{c}__var") > 1e-13 * F.col(f"{c}__v")),
-                                           (x[c] - F.col(f"{c}__mu")) / F.sqrt(f"{c}__var")), F.lit(0.0)) for c in columns}
-        return df.withColumns(z).select(*base, *z)
+            ok = (F.count(c).over(fr) >= min_periods) & (F.max(c).over(fr) > F.min(c).over(fr))
+            z[c + suffix] = F.coalesce(F.when(ok, (F.col(c) - F.avg(c).over(fr)) / F.stddev_samp(c).over(fr)), F.lit(0.0))
+        return df.select("*", *[v.alias(k) for k, v in z.items()])
 
 
 def by_series(df: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -44,7 +44,7 @@ def bars_hourly(spark, sf):
 def pooled_ic_bucketed(spark, sf):
     """One group holding every row, ranked through value buckets whatever the input size."""
     b = derive.bars(spark, sf).select(F.col("volume").alias("v"), (F.col("close") / F.col("open") - 1).alias("body"))
-    return rnd(order_stats.spearman(b, [], "v", "body", bounded=False))
+    return rnd(order_stats.spearman(b, [], "v", "body"))
 
 
 @query("pooled_quantiles_bucketed", "CA6", """
@@ -54,7 +54,7 @@ def pooled_ic_bucketed(spark, sf):
 def pooled_quantiles_bucketed(spark, sf):
     li = derive.table(spark, sf, "lineitem")
     x = li.select(F.col("l_returnflag").alias("segment"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"))
-    return rnd(order_stats.quantiles(x, ["segment"], "px", [0.05, 0.5, 0.95], small=False))
+    return rnd(order_stats.quantiles(x, ["segment"], "px", [0.05, 0.5, 0.95]))
 
 
 @query("tick_positions_bucketed", "SO1", """
@@ -62,4 +62,4 @@ def pooled_quantiles_bucketed(spark, sf):
       row_number() over (partition by event_type order by ts, event_id) as pos from events) where pos % 10 = 0""")
 def tick_positions_bucketed(spark, sf):
     t = derive.ticks(spark, sf).select("symbol", "ts", "event_id")
-    return order_stats.positions(t, ["symbol"], ["ts", "event_id"], small=False).filter("pos % 10 = 0").select("event_id", "symbol", "pos")
+    return order_stats.positions(t, ["symbol"], ["ts", "event_id"]).filter("pos % 10 = 0").select("event_id", "symbol", "pos")

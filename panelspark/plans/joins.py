@@ -106,7 +106,7 @@ def tick_asof_pooled(spark, sf):
     e = derive.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     first = e.agg(F.min("event_type").alias("event_type"))
     r = e.join(F.broadcast(first), "event_type").select("ts", "value", F.col("event_id").alias("ref"))
-    return rnd(jn.asof_join(e.select("event_id", "ts"), r, [], "ts", ["value", "ref"], tie="ref", small=False).drop("ts"))
+    return rnd(jn.asof_join(e.select("event_id", "ts"), r, [], "ts", ["value", "ref"], tie="ref").drop("ts"))
 
 
 @query("tick_asof_by_user", "JN1", f"""with r as ({_click}) select e.event_id, cast(r.ts as varchar) as asof_ts, {q.r('r.value', 6, 'asof_value')} from events e asof left join r on e.user_id = r.user_id and e.ts >= r.ts""")

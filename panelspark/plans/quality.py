@@ -28,14 +28,17 @@ def aligned_features(spark, sf):
     return rnd(cl.align_features(derive.bars(spark, sf), ["close", "absent", "volume"]))
 
 
-@query("feature_families", "PRJ2 PRJ5 PRJ6", """with f as (select distinct lower(replace(p_name, ' ', '_')) as a, p_type from part), g as (select ([ 'ret_', 'macd', 'boll_', 'rsi', 'ma_', 'ema_', 'kdj_', 'atr', 'obv', 'r1', 'doji', 'factor_', 'macro_', 'xvol', 'zz_'])[i] || a as feature from f, range(1, 16) t(i))
-  select feature, case when feature like 'ret@_%' escape '@' then 'returns' when feature like 'macd%' then 'macd' when feature like 'boll@_%' escape '@' then 'boll' when feature like 'rsi%' then 'rsi'
-   when feature like 'ma@_%' escape '@' then 'ma' when feature like 'ema@_%' escape '@' then 'trend_extra' when feature like 'kdj@_%' escape '@' then 'momentum' when feature like 'atr%' then 'volatility'
-   when feature like 'obv%' then 'volume' when feature like 'r1%' then 'structure' when feature like 'doji%' then 'candle' when feature like 'factor@_%' escape '@' then 'factor'
-   when feature like 'macro@_%' escape '@' then 'macro' when feature like '%vol%' then 'volatility' when feature like '%ret%' then 'returns' else 'uncovered' end as family from g""")
+@query("feature_families", "PRJ2 PRJ5 PRJ6", """with f as (select distinct lower(replace(p_name, ' ', '_')) as a from part),
+  g as (select (['ret_', 'macd', 'x_macd', 'boll_', 'my_rsi', 'ma_', 'ema_', 'aroon_', 'old_atr', 'hist_volume_ratio', 'obv', 'r1', 'doji', 'factor_', 'macro_', 'xvol', 'zz_', 'kama', 'trix'])[i] || a as feature from f, range(1, 20) t(i))
+  select feature, case when feature like 'ret@_%' escape '@' then 'returns' when feature like 'boll@_%' escape '@' then 'boll' when feature like 'ma@_%' escape '@' then 'ma'
+   when regexp_matches(feature, '^(ema|wma|dema|tema|trima)_') then 'trend_extra' when regexp_matches(feature, '^(kdj|stoch|aroon)_') then 'momentum' when feature like 'factor@_%' escape '@' then 'factor' when feature like 'macro@_%' escape '@' then 'macro'
+   when feature like '%kama%' then 'kama' when feature like '%macd%' then 'macd' when feature like '%rsi%' then 'rsi' when regexp_matches(feature, 'adx|vortex_|trix') then 'trend_extra'
+   when regexp_matches(feature, 'willr|roc|mom|cci|cmo|tsi') then 'momentum' when regexp_matches(feature, 'volatility|atr|stddev|mass_index|choppiness|boll_width') then 'volatility'
+   when regexp_matches(feature, 'volume_ratio|obv|vwap|mfi|cmf|ad_line|pvt|nvi|force_index|eom') then 'volume' when regexp_matches(feature, 'pivot|r1|s1|r2|s2') then 'structure'
+   when regexp_matches(feature, 'doji|hammer|engulfing|morning_star') then 'candle' else 'uncovered' end as family from g""")
 def feature_families(spark, sf):
-    p = derive.table(spark, sf, "part").select(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("a"), "p_type").distinct()
-    pre = ["ret_", "macd", "boll_", "rsi", "ma_", "ema_", "kdj_", "atr", "obv", "r1", "doji", "factor_", "macro_", "xvol", "zz_"]
+    p = derive.table(spark, sf, "part").select(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("a")).distinct()
+    pre = ["ret_", "macd", "x_macd", "boll_", "my_rsi", "ma_", "ema_", "aroon_", "old_atr", "hist_volume_ratio", "obv", "r1", "doji", "factor_", "macro_", "xvol", "zz_", "kama", "trix"]
     g = p.select("a", F.explode(F.array(*[F.lit(x) for x in pre])).alias("x")).select(F.concat("x", "a").alias("feature"))
     return g.select("feature", cl.feature_family().alias("family"))
 

@@ -189,16 +189,18 @@ def confidence_diagnostics(spark, sf):
     return rnd(spearman(c, ["horizon"], "conf", "fwd_ret", "ic_return").join(spearman(c, ["horizon"], "conf", "mag", "ic_vol").drop("n"), "horizon"))
 
 
-TM = """tm0 as (select *, (fwd_ret > 0)::int as y, (p_up > 0.5)::int as h, case when p_up > 0.5 then fwd_ret else -fwd_ret end as pnl from scores where fwd_ret is not null),
-  tm1 as (select *, sum(pnl) over (partition by symbol, horizon order by date) as cum from tm0), tm2 as (select *, cum - greatest(max(cum) over (partition by symbol, horizon order by date), 0.0) as dd from tm1),
-  tm as (select symbol, horizon, count(*) as n, avg((h = y)::int) as acc, sum(h * y)::double / nullif(sum(h), 0) as pr, sum(h * y)::double / nullif(sum(y), 0) as rc, avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(252) as sharpe, min(dd) as mdd,
-   least(coalesce(sum(greatest(pnl, 0)) / nullif(sum(greatest(-pnl, 0)), 0), 999.0), 999.0) as pf from tm2 group by 1, 2)"""
+FEE = 0.00125
+TM = f"""tm0 as (select *, (fwd_ret > 0)::int as y, (p_up > 0.5)::int as h, case when p_up > 0.5 then fwd_ret else -fwd_ret end - 2 * {FEE}::double as net from scores where fwd_ret is not null),
+  tm1 as (select *, sum(net) over (partition by symbol, horizon order by date) as cum from tm0), tm2 as (select *, cum - max(cum) over (partition by symbol, horizon order by date) as dd from tm1),
+  tm as (select symbol, horizon, count(*) as n, avg((h = y)::int) as acc, sum(h * y)::double / nullif(sum(h), 0) as pr, sum(h * y)::double / nullif(sum(y), 0) as rc,
+   coalesce(avg(net) / nullif(stddev_pop(net), 0) * sqrt(252.0 / horizon), 0) as sharpe, min(dd) as mdd, coalesce(sum(greatest(net, 0)) / nullif(sum(greatest(-net, 0)), 0), 999.0) as pf,
+   sum(greatest(-net, 0)) <= 0 as capped, sum(net) as total, avg((net > 0)::int) as wins from tm2 group by 1, 2)"""
 
 
-@query("trading_metrics", "ST27 RM12", f"with {q.SCORES}, {TM} select symbol, horizon, n, {q.rs(6, accuracy='acc', precision='coalesce(pr, 0)', recall='coalesce(rc, 0)', f1='coalesce(2 * pr * rc / nullif(pr + rc, 0), 0)', sharpe='coalesce(sharpe, 0)', max_drawdown='mdd', profit_factor='pf')} from tm")
+@query("trading_metrics", "ST27 RM12", f"with {q.SCORES}, {TM} select symbol, horizon, n, capped as profit_factor_is_capped, {q.rs(6, accuracy='acc', precision='coalesce(pr, 0)', recall='coalesce(rc, 0)', f1='coalesce(2 * pr * rc / nullif(pr + rc, 0), 0)', sharpe='sharpe', max_drawdown='mdd', profit_factor='pf', total_return='total', win_rate='wins')} from tm")
 def trading_metrics(spark, sf):
     d = derive.scores(derive.bars(spark, sf)).filter("fwd_ret is not null").withColumn("y", (F.col("fwd_ret") > 0).cast("int"))
-    return rnd(st.trading_metrics(d, ["symbol", "horizon"], ["date"]))
+    return rnd(st.trading_metrics(d, ["symbol", "horizon"], ["date"], horizon="horizon", fee=FEE))
 
 
 @query("auc", "ST28", f"""with {q.SCORES}, d as (select horizon, p_up, (fwd_ret > 0)::int as y from scores where fwd_ret is not null), r as (select *, rank() over (partition by horizon order by p_up) + (count(*) over (partition by horizon, p_up) - 1) / 2.0 as rk from d)

@@ -13,17 +13,22 @@ def _stem() -> Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.\w+)+$", 1)
 
 
+def _line() -> Column:
+    """Orders the rows of a file as they stand in it: the block a task reads, then the row within the task."""
+    return F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+
+
 def read_bars(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """One file per symbol (name = symbol) or files with a symbol column; first row per (symbol, date) wins."""
     schema = "date date, open double, high double, low double, close double, volume double"
     if fmt == "csv":
         df = spark.read.schema(schema).option("header", True).csv(path)
-        df = df.select(_stem().alias("symbol"), "*", F.col("_metadata.file_block_start").alias("arrival"))
+        df = df.select(_stem().alias("symbol"), "*", _line().alias("arrival"))
     else:
         df = spark.read.format(fmt).load(path)
         if "symbol" not in df.columns:
             df = df.withColumn("symbol", _stem())
-        df = df.withColumn("arrival", F.col("_metadata.file_block_start"))
+        df = df.withColumn("arrival", _line())
     required_columns(df, ("symbol", "date", "open", "high", "low", "close", "volume"))
     return dedupe(df, order=("arrival",)).drop("arrival")
 
@@ -36,12 +41,12 @@ def load_pool(spark: SparkSession, path: str, start: str | None, end: str | None
 
 
 def read_macro(spark: SparkSession, path: str, prefix: str = "macro_") -> DataFrame:
-    """``date,value`` CSV files, one indicator per file name, last value per (indicator, date)."""
+    """``date,value`` CSV files, one indicator per file name, first value per (indicator, date)."""
     df = spark.read.schema("date string, value string").option("header", True).csv(path)
     df = df.select(F.regexp_replace(_stem(), f"^{prefix}", "").alias("indicator"), F.col("date").try_cast("date").alias("date"),
-                   F.col("value").try_cast("double").alias("value"), F.col("_metadata.file_block_start").alias("arrival"))
+                   F.col("value").try_cast("double").alias("value"), _line().alias("arrival"))
     df = df.filter(F.col("date").isNotNull() & F.col("value").isNotNull())
-    return dedupe(df, ("indicator", "date"), ("arrival",), "last").select(*MACRO.fieldNames())
+    return dedupe(df, ("indicator", "date"), ("arrival",)).select(*MACRO.fieldNames())
 
 
 def append_snapshots(df: DataFrame, path: str) -> None:

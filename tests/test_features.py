@@ -6,12 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators import factors as fa, indicators as ti, labels as lb
+from panelspark.operators.windows import Series
 
 FEATURES = {
     "base": ti.base_features, "trailing": ti.trailing_indicators, "cumulative": ti.cumulative_indicators, "patterns": ti.patterns,
     "recursive": ti.recursive_indicators, "levels": ti.support_resistance, "sigma": ti.label_volatility,
     "matrix": lambda b: fa.factor_matrix(b, windows=(5, 10)),
-    "price": lambda b: fa.price_factors(b).drop("factor_volatility", "factor_atr_ratio", "factor_obv_slope"),
+    "price": fa.price_factors,
+    "macro": lambda b: fa.macro_factor(b.withColumn("macro_a", F.col("close")).withColumn("macro_b", F.col("volume"))),
+    "compressed": lambda b: fa.compressed_factors(b, windows=(5, 10)),
 }
 
 
@@ -38,6 +41,23 @@ def test_future_does_not_leak(spark, name):
     assert np.allclose(a[num].fillna(-99), b[num].fillna(-99), rtol=1e-9, atol=1e-9)
 
 
+def test_zscore_is_trailing_and_exact_over_level_changes(spark):
+    r = np.random.default_rng(0)
+    x = np.concatenate([1e6 + r.normal(size=600), 1 + r.normal(size=400), np.full(40, 2.0), [np.nan] * 3, 1e9 * r.normal(size=50)])
+    pdf = pd.DataFrame({"symbol": "A", "date": pd.bdate_range("2015-01-01", periods=len(x)).date, "x": x})
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    got = Series().with_zscore(df, ["x"], 30, 5).toPandas().sort_values("date")["x_z"].to_numpy()
+    w = pdf["x"].rolling(30, min_periods=5)
+    want = []
+    for i in range(len(x)):
+        v = x[max(0, i - 29) : i + 1]
+        v = v[~np.isnan(v)]
+        want.append(0.0 if len(v) < 5 or v.max() == v.min() or np.isnan(x[i]) else (x[i] - v.mean()) / v.std(ddof=1))
+    assert np.allclose(got, want, rtol=1e-6, atol=1e-6) and w.count().max() == 30
+    head = Series().with_zscore(df.limit(900), ["x"], 30, 5).toPandas().sort_values("date")["x_z"].to_numpy()
+    assert np.allclose(head, got[:900], rtol=1e-12, atol=1e-12)
+
+
 def test_recursive_against_pandas(spark):
     p = bars(symbols=("A",))
     got = ti.recursive_indicators(spark.createDataFrame(p)).toPandas().sort_values("date")

@@ -22,10 +22,10 @@ def skewed(spark):
 
 def test_ranks_and_spearman(spark, skewed):
     df = spark.createDataFrame(skewed)
-    got = os_.with_average_rank(df, ["g"], "x", "r", small=False).toPandas().set_index("id")["r"].sort_index()
+    got = os_.with_average_rank(df, ["g"], "x", "r").toPandas().set_index("id")["r"].sort_index()
     want = skewed.groupby("g")["x"].rank(method="average")
     assert np.allclose(got.to_numpy(), want.to_numpy())
-    a = os_.spearman(df, ["g"], "x", "y", bounded=False).toPandas().set_index("g")
+    a = os_.spearman(df, ["g"], "x", "y").toPandas().set_index("g")
     b = os_.spearman(df, ["g"], "x", "y", bounded=True).toPandas().set_index("g")
     for k, p in skewed.groupby("g"):
         w = p["x"].rank().corr(p["y"].rank())
@@ -40,13 +40,52 @@ def test_spearman_constant_side_is_zero(spark):
 
 def test_positions_and_running(spark, skewed):
     df = spark.createDataFrame(skewed)
-    p = os_.positions(df, ["g"], ["x", "id"], small=False).toPandas().sort_values("id")
+    p = os_.positions(df, ["g"], ["x", "id"]).toPandas().sort_values("id")
     want = skewed.sort_values(["x", "id"]).groupby("g").cumcount().add(1).sort_index()
     assert (p["pos"].to_numpy() == want.to_numpy()).all()
-    m = os_.running(df, ["g"], ["id"], {"s": "y"}, {"m": "y"}, small=False).toPandas().sort_values("id")
+    m = os_.running(df, ["g"], ["id"], {"s": "y"}, {"m": "y"}).toPandas().sort_values("id")
     assert np.allclose(m["s"], skewed.groupby("g")["y"].cumsum()) and np.allclose(m["m"], skewed.groupby("g")["y"].cummax())
 
 
+@pytest.mark.parametrize("depth", [0, 1, 2, 3])
+def test_any_number_of_levels_gives_the_same(spark, skewed, depth, monkeypatch):
+    """Null keys, null values, one value alone in its group, equal order keys; few edges a level, so every level cuts."""
+    rows = [(i, None if i % 5 == 0 else "g" if i % 2 else "h", None if i % 7 == 0 else float(i % 13)) for i in range(400)] + [(900, "one", 4.0), (901, "empty", None)]
+    df = spark.createDataFrame(rows, "id int, g string, x double")
+    if depth:
+        real = os_.bucketed
+        monkeypatch.setattr(os_, "bucketed", lambda d, keys, order, classes=8, depth_=depth: real(d, keys, order, 8, depth_))
+    small = depth == 0
+    pos = {r["id"]: r["pos"] for r in os_.positions(df, ["g"], ["x", "id"], small=small).collect()}
+    rank = {r["id"]: r["r"] for r in os_.with_average_rank(df, ["g"], "x", "r", small=small).collect()}
+    p = pd.DataFrame(rows, columns=["id", "g", "x"])
+    p["g"] = p["g"].fillna("null")
+    order = p.assign(k=p["x"].fillna(-1)).sort_values(["k", "id"])
+    want = dict(zip(order["id"], order.groupby("g").cumcount() + 1, strict=True))
+    assert pos == want
+    wr = p.groupby("g")["x"].rank(method="average")
+    assert all((rank[i] is None and np.isnan(w)) or rank[i] == w for i, w in zip(p["id"], wr, strict=True))
+    q = {(r["g"], r["prob"]): r["q"] for r in os_.quantiles(df, ["g"], "x", [0.0, 0.3, 1.0], small=small).collect()}
+    for k, d in p.dropna(subset="x").groupby("g"):
+        for f in (0.0, 0.3, 1.0):
+            assert abs(q[(None if k == "null" else k, f)] - np.quantile(d["x"], f)) < 1e-12
+    assert len(q) == 12
+
+
+def test_levels_grow_with_the_input(spark, monkeypatch):
+    df = spark.range(10)
+    assert os_.levels(df) == 1
+    monkeypatch.setattr(os_, "BUCKET_BYTES", 1e-4)
+    assert os_.levels(df) == 3
+
+
+def test_asof_join_matches_null_keys(spark):
+    left, right = spark.createDataFrame([(None, 5, 1), ("a", 5, 2)], "k string, t int, id int"), spark.createDataFrame([(None, 3, 7.0), ("a", 9, 8.0)], "k string, t int, v double")
+    for small in (True, False):
+        got = {r["id"]: r["asof_v"] for r in joins.asof_join(left, right, ["k"], "t", ["v"], small=small).collect()}
+        assert got == {1: 7.0, 2: None}
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_quantiles(spark, skewed, small):
     probs = [0.0, 0.1, 0.5, 0.77, 1.0]

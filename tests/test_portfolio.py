@@ -133,3 +133,19 @@ def test_topk_dropout_and_all_in(spark):
     path = spark.createDataFrame([("A", d, px, pos) for d, px, pos in zip(days, (100.0, 110.0, 110.0), (1, 1, 0), strict=True)], "symbol string, date date, price double, position int")
     r = pf.all_in_simulator(path, capital=1000.0, fee=0.0).first()
     assert r["final_equity"] == pytest.approx(1100.0) and r["trades"] == 2  # idle cash is kept when closing
+
+
+def test_trading_metrics_follow_their_definition(spark):
+    from panelspark.operators import statistics as st
+
+    def one(rets, horizon=1, fee=0.0):
+        df = spark.createDataFrame([("a", i, 0.9, int(r > 0), r) for i, r in enumerate(rets)], "k string, date int, p_up double, y int, fwd_ret double")
+        return st.trading_metrics(df, ["k"], ["date"], horizon=horizon, fee=fee).first()
+
+    m = one([-0.05, 0.02, 0.04], 5, 0.001)
+    net = np.array([-0.05, 0.02, 0.04]) - 0.002
+    assert abs(m["sharpe"] - net.mean() / net.std() * np.sqrt(252 / 5)) < 1e-12 and m["max_drawdown"] == 0 and abs(m["total_return"] - net.sum()) < 1e-15
+    m = one([5.0, -0.001])
+    assert abs(m["profit_factor"] - 5000) < 1e-9 and not m["profit_factor_is_capped"]
+    m = one([5.0, 1.0])
+    assert m["profit_factor"] == 999 and m["profit_factor_is_capped"]

@@ -23,7 +23,18 @@ def test_read_bars_dedupes_and_names_symbols(spark, tmp_path):
     assert readers.load_pool(spark, str(d), "2024-01-01", None, 2).select("symbol").distinct().count() == 1
 
 
-def test_read_macro_takes_last_and_skips_bad_rows(spark, tmp_path):
+@pytest.mark.parametrize("closes", [(1.0, 9.0), (9.0, 1.0)])
+def test_first_duplicate_is_kept(spark, tmp_path, closes):
+    rows = "".join(f"2024-01-{1 + i % 28:02d},1,1,1,{closes[i // 28]},5\n" for i in range(56))
+    (tmp_path / "A.csv").write_text("date,open,high,low,close,volume\n" + rows)
+    assert {r["close"] for r in readers.read_bars(spark, str(tmp_path)).collect()} == {closes[0]}
+    m = tmp_path / "macro"
+    m.mkdir()
+    (m / "macro_x.csv").write_text("date,value\n" + "".join(f"2024-01-31,{c}\n" for c in closes))
+    assert [r["value"] for r in readers.read_macro(spark, str(m)).collect()] == [closes[0]]
+
+
+def test_read_macro_takes_first_and_skips_bad_rows(spark, tmp_path):
     (tmp_path / "macro_cpi.csv").write_text("date,value\n2024-01-31,1.5\n2024-02-29,n/a\n2024-03-31,2.5\n")
     m = readers.read_macro(spark, str(tmp_path)).orderBy("date").collect()
     assert [(r["indicator"], r["value"]) for r in m] == [("cpi", 1.5), ("cpi", 2.5)]
@@ -88,8 +99,12 @@ def test_headers_fill_and_contracts(spark):
         cl.align_features(raw.withColumn("date", F.lit(1)), ["x"], strict=True)
     with pytest.warns(UserWarning):
         assert cl.feature_columns(spark.createDataFrame([(1, 1, 1, 1)], ["symbol", "_fwd_ret", "target_5d", "my_fwd"])) == ["my_fwd"]
-    assert cl.group_features(["ret_5", "kama", "zz"]) == {"ret_5": "returns", "kama": "kama", "zz": "uncovered"}
-    assert cl.subset_features(["ret_5", "kama", "obv"], "volume") == ["obv"]
+    want = {"ret_5": "returns", "kama": "kama", "zz": "uncovered", "aroon_up": "momentum", "x_macd": "macd", "my_rsi": "rsi", "old_atr": "volatility", "hist_volume_ratio": "volume", "dema_5": "trend_extra", "ma_5": "ma"}
+    assert cl.group_features(list(want)) == want
+    got = {r[0]: r[1] for r in spark.createDataFrame([(k,) for k in want], "feature string").select("feature", cl.feature_family()).collect()}
+    assert got == want
+    assert cl.subset_features(list(want), "classic_only") == ["ret_5", "x_macd", "my_rsi", "old_atr", "hist_volume_ratio", "ma_5"] and set(cl.subset_features(list(want), "full")) == set(want) - {"zz"}
+    assert cl.subset_features(["ret_5", "kama", "obv"], "compact") == ["ret_5", "obv"]
 
 
 def test_asset_classes(spark):
