@@ -6,6 +6,7 @@ Driver loops run over folds, arms or pools (at most dozens); the rows stay distr
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -43,14 +44,18 @@ def train(df: DataFrame, features: Sequence[str], label: str = "target", kind: s
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "p_up") -> DataFrame:
-    return model.transform(df).withColumn(out, vector_to_array("probability")[1]).drop("_v", "_x", "rawPrediction", "probability", "prediction")
+    """Every row of ``df``; the score is null where a feature is null or NaN."""
+    assembler = model.stages[0]
+    assembler.setHandleInvalid("keep")
+    whole = reduce(lambda a, b: a & b, [F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")) for f in assembler.getInputCols()])
+    return model.transform(df).withColumn(out, F.when(whole, vector_to_array("probability")[1])).drop("_v", "_x", "rawPrediction", "probability", "prediction")
 
 
 def walk_forward_scores(panel: DataFrame, features: Sequence[str], label: str = "target", folds: int = 3, purge: int = 5, kind: str = "gbt", **params) -> DataFrame:
     """Out-of-sample probabilities: one fit per fold on the rows before it (minus the purge), union of the test rows."""
     out = None
     assigned = cut_lineage(walk_forward(panel, folds, purge))  # every fold reads the checkpoint, not the feature plan
-    for f in range(folds):
+    for f in sorted(r[0] for r in assigned.filter(F.col("fold").isNotNull()).select("fold").distinct().collect()):  # short panels have fewer folds than asked for
         part = assigned.filter(F.col("fold") == f)
         m = train(part.filter(F.col("role") == "train"), features, label, kind, **params)
         s = score(m, part.filter(F.col("role") == "test")).drop("total", "pos", "role")

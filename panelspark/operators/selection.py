@@ -53,14 +53,14 @@ def selection_turnover(selected: DataFrame) -> DataFrame:
     return j.select("date", (union - b).alias("changed"), ((union - b) / F.greatest(union, F.lit(1))).alias("turnover"))
 
 
-def merge_news(sources: Sequence[DataFrame], limit: int, title: str = "title", ts: str = "ts") -> DataFrame:
-    """Union of sources, newest copy of each title, newest ``limit`` items."""
+def merge_news(sources: Sequence[DataFrame], limit: int | None = None, title: str = "title", ts: str = "ts") -> DataFrame:
+    """Union of sources, newest copy of each title, all of them or the newest ``limit``."""
     u = sources[0]
     for s in sources[1:]:
         u = u.unionByName(s, allowMissingColumns=True)
     rest = [c for c in u.columns if c != title]
     g = u.groupBy(title).agg(F.max_by(F.struct(*rest), F.struct(ts, *[c for c in rest if c != ts])).alias("_x")).select(title, "_x.*")
-    return g.orderBy(F.desc(ts), title).limit(limit)
+    return g if limit is None else g.orderBy(F.desc(ts), title).limit(limit)
 
 
 def best_candidate(candidates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

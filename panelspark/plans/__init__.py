@@ -1,16 +1,25 @@
 """All registered queries; importing this package fills the registry."""
 
-import importlib
-
+from panelspark.plans import (  # noqa: F401
+    aggregates,
+    calibration,
+    factors,
+    flagship,
+    forecast,
+    indicators,
+    joins,
+    labels,
+    models,
+    overfit,
+    portfolio,
+    quality,
+    scans,
+    selection,
+    splits,
+    statistics,
+    streams,
+    trading,
+)
 from panelspark.plans.registry import IDS, ORACLES, QUERIES
 
-MODULES = ["flagship", "scans", "quality", "indicators", "factors", "joins", "aggregates", "labels", "selection", "splits",
-           "statistics", "calibration", "overfit", "portfolio", "trading", "forecast", "models", "streams"]
-for _m in MODULES:
-    try:
-        importlib.import_module(f"panelspark.plans.{_m}")
-    except ModuleNotFoundError as e:  # not written yet
-        if e.name != f"panelspark.plans.{_m}":
-            raise
-
 __all__ = ["IDS", "ORACLES", "QUERIES"]

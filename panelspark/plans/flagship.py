@@ -58,8 +58,7 @@ def pooled_quantiles_bucketed(spark, sf):
 
 
 @query("tick_positions_bucketed", "SO1", """
-    select event_id, symbol, pos from (select event_id, event_type as symbol,
-      row_number() over (partition by event_type order by ts, event_id) as pos from events) where pos % 10 = 0""")
+    select event_id, event_type as symbol, row_number() over (partition by event_type order by ts, event_id) as pos from events""")
 def tick_positions_bucketed(spark, sf):
     t = derive.ticks(spark, sf).select("symbol", "ts", "event_id")
-    return order_stats.positions(t, ["symbol"], ["ts", "event_id"]).filter("pos % 10 = 0").select("event_id", "symbol", "pos")
+    return order_stats.positions(t, ["symbol"], ["ts", "event_id"]).select("event_id", "symbol", "pos")

@@ -48,13 +48,13 @@ def selection_turnover(spark, sf):
     return rnd(so.selection_turnover(so.top_quantile(scores5(spark, sf))))
 
 
-@query("merged_news", "SE6", """with u as (select text as title, source, timestamp '2024-01-01' + doc_id * interval 1 minute as ts from documents where doc_id % 3 < 2 union all select text, source || '-b', timestamp '2024-01-01' + doc_id * interval 1 minute + interval 30 second from documents where doc_id % 2 = 0),
-  k as (select *, row_number() over (partition by title order by ts desc, source desc) as k from u) select sha256(title) as title_hash, source, cast(ts as varchar) as ts from k where k = 1 order by k.ts desc, k.title limit 300""")
+@query("merged_news", "SE6", """with u as (select text as title, source, timestamp '2024-01-01' + doc_id * interval 1 minute as ts from documents union all select text, source || '-b', timestamp '2024-01-01' + doc_id * interval 1 minute + interval 30 second from documents where source is not null),
+  k as (select *, row_number() over (partition by title order by ts desc, source desc) as k from u) select sha256(title) as title_hash, source, cast(ts as varchar) as ts from k where k = 1""")
 def merged_news(spark, sf):
     d = derive.table(spark, sf, "documents").select("doc_id", F.col("text").alias("title"), "source", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))).alias("ts"))
-    a = d.filter("doc_id % 3 < 2").drop("doc_id")
-    b = d.filter("doc_id % 2 = 0").select("title", F.concat("source", F.lit("-b")).alias("source"), (F.col("ts") + F.expr("interval 30 seconds")).alias("ts"))
-    return rnd(so.merge_news([a, b], 300).select(F.sha2("title", 256).alias("title_hash"), "source", "ts"))
+    a = d.drop("doc_id")
+    b = d.filter("source is not null").select("title", F.concat("source", F.lit("-b")).alias("source"), (F.col("ts") + F.expr("interval 30 seconds")).alias("ts"))
+    return rnd(so.merge_news([a, b]).select(F.sha2("title", 256).alias("title_hash"), "source", "ts"))
 
 
 @query("best_candidates", "SO5", f"""with {q.SCORES}, ic as ({q.spearman('scores', 'symbol, horizon', 'p_up', 'fwd_ret')}), k as (select *, abs(ic) * sqrt(n) > 2 as sig, row_number() over (partition by symbol order by (abs(ic) * sqrt(n) > 2)::int desc, abs(ic) desc, horizon desc) as k from ic)
@@ -76,10 +76,10 @@ def returns(spark, sf):
     return derive.bars(spark, sf).select("symbol", "date", s.pct("close").alias("ret"))
 
 
-@query("pair_correlations", "ST21 SO4", f"with {q.BARS}, {PAIRS} select a, b, n, {q.r('rho', 6, 'rho')} from pairs order by abs(rho) desc limit 40")
+@query("pair_correlations", "ST21 SO4", f"with {q.BARS}, {PAIRS} select a, b, n, {q.r('rho', 6, 'rho')} from pairs")
 def pair_correlations(spark, sf):
     p = st.pair_correlations(returns(spark, sf))
-    return rnd(p.orderBy(F.desc(F.abs("rho")), "a", "b").limit(40))
+    return rnd(p)
 
 
 @query("effective_dimension", "ST22", f"with {q.BARS}, {PAIRS}, k as (select count(distinct symbol) as m from bars) select m as n_symbols, {q.rs(6, mean_rho='avg(rho)', effective_dimension='m * m / (m + 2 * sum(rho * rho))')} from pairs, k group by m")

@@ -22,7 +22,7 @@ MACRO = """macro as (
 
 NEWS = """news as (
   select doc_id, cast(date '1996-01-01' + cast(doc_id % 97 as integer) as date) as date, text as title, source
-  from documents where lang = 'en')"""
+  from documents)"""
 
 D = "cast(date as varchar) as date"
 TS = "cast(ts as varchar) as ts"

@@ -46,10 +46,10 @@ def session_bars(spark, sf):
     return rnd(sb.session_bars(t, key="user_id").drop("end"))
 
 
-@query("unique_snapshots", "ST-R10", "select event_type as symbol, cast(date_trunc('minute', ts) as varchar) as ts, 1::bigint as kept from events group by event_type, date_trunc('minute', ts)")
+@query("unique_snapshots", "ST-R10", f"select event_type as symbol, cast(date_trunc('minute', ts) as varchar) as ts, first(event_id order by events.ts, event_id) as event_id, {q.r('first(value order by events.ts, event_id)', 6, 'price')} from events group by event_type, date_trunc('minute', ts)")
 def unique_snapshots(spark, sf):
-    t = ticks(spark, sf).withColumn("ts", F.date_trunc("minute", "ts"))
-    return rnd(sb.unique_snapshots(t).select("symbol", "ts", F.lit(1).cast("bigint").alias("kept")))
+    t = ticks(spark, sf).withColumn("at", F.col("ts")).withColumn("ts", F.date_trunc("minute", "ts"))
+    return rnd(sb.unique_snapshots(t, order=("at", "event_id")).select("symbol", "ts", "event_id", "price"))
 
 
 @query("change_pct", "ST-R2", f"select event_id, {q.r('value / (value + 1) - 1', 6, 'change_pct')} from events where event_id % 9 <> 0 and value > 0")

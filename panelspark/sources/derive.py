@@ -53,7 +53,7 @@ def macro(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").filter(F.col("lang") == "en")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", F.date_add(F.lit("1996-01-01").cast("date"), F.pmod("doc_id", F.lit(97)).cast("int")).alias("date"),
                     F.col("text").alias("title"), "source")
 

@@ -27,11 +27,13 @@ def session_bars(ticks: DataFrame, gap: str = "20 minutes", lateness: str = "10
     return g.select(key, F.col("session_window.start").alias("ts"), F.col("session_window.end").alias("end"), "n", "high", "low")
 
 
-def unique_snapshots(ticks: DataFrame, lateness: str = "10 minutes", keys=("symbol", "ts")) -> DataFrame:
-    """First snapshot per key; on a stream state is kept only inside the watermark."""
+def unique_snapshots(ticks: DataFrame, lateness: str = "10 minutes", keys=("symbol", "ts"), order=("ts", "event_id")) -> DataFrame:
+    """First snapshot per key: along ``order`` in a batch, by arrival on a stream, where state is kept only inside the watermark."""
     if ticks.isStreaming:
         return ticks.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(list(keys))
-    return ticks.dropDuplicates(list(keys))
+    rest = [c for c in ticks.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*order))
+    return ticks.groupBy(*keys).agg(first.alias("_first")).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
 
 
 def _wm(df: DataFrame, lateness: str) -> DataFrame:

@@ -52,12 +52,14 @@ def poll_summary(batch: DataFrame) -> DataFrame:
 
 
 def run_polls(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True, seconds: int = 30):
-    """One micro-batch per poll: snapshots appended by day, summaries beside them.  Restarts from the checkpoint."""
+    """One micro-batch per poll: its snapshots by day, its summary beside them.  A poll that runs again after a restart replaces its own folders."""
     def write(batch: DataFrame, epoch: int) -> None:
         b = batch.persist()
-        b.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(f"{out}/snapshots/epoch={epoch}")
-        poll_summary(b).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/summary/poll={epoch}")
-        b.unpersist()
+        try:
+            b.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{out}/snapshots/epoch={epoch}")
+            poll_summary(b).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/summary/poll={epoch}")
+        finally:
+            b.unpersist()
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{seconds} seconds")).start()

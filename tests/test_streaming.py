@@ -78,6 +78,25 @@ def test_polls_and_drift(spark, tmp_path):
     assert {r["drift"]: r["snapshots"] for r in got.collect()} == {"stale": 1, "intact": 1, "unknown": 1}
 
 
+def test_a_poll_that_runs_again_replaces_its_rows(spark, tmp_path):
+    base = spark.createDataFrame([("A", dt.date(2024, 1, 1), 10.0, "up", True)], "symbol string, base_date date, base_close double, direction string, available boolean")
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.json").write_text('{"symbol": "A", "ts": "2024-01-02T10:00:00", "price": 9.0}\n')
+    out, ck = tmp_path / "out", tmp_path / "ck"
+    sq.run_polls(sq.drift_state(sq.snapshot_stream(spark, str(src)), base), str(out), str(ck)).awaitTermination()
+    (ck / "commits" / "0").unlink()  # the poll wrote its rows, then the driver was lost
+    (ck / "commits" / ".0.crc").unlink(missing_ok=True)
+    sq.run_polls(sq.drift_state(sq.snapshot_stream(spark, str(src)), base), str(out), str(ck)).awaitTermination()
+    assert spark.read.parquet(str(out / "snapshots")).count() == 1 and spark.read.parquet(str(out / "summary")).count() == 1
+
+
+def test_first_snapshot_of_a_key(spark):
+    rows = [("A", 1, 5, 3.0), ("A", 1, 4, 7.0), ("A", 2, 1, 1.0)]
+    got = sb.unique_snapshots(spark.createDataFrame(rows, "symbol string, ts int, event_id int, price double")).orderBy("ts").collect()
+    assert [(r["event_id"], r["price"]) for r in got] == [(4, 7.0), (1, 1.0)]
+
+
 def test_session_filter(spark):
     rows = [(dt.datetime(2024, 1, 2, 11, 30),), (dt.datetime(2024, 1, 2, 12, 0),), (dt.datetime(2024, 1, 6, 10, 0),)]
     assert sq.in_session(spark.createDataFrame(rows, "ts timestamp")).count() == 1
