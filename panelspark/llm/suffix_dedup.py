@@ -2,9 +2,9 @@
 
 A byte goes if a string of 200 bytes that covers it also starts elsewhere, in the same document or another.
 
-1. Every window of 200 bytes has an anchor (``anchors``); neighbouring windows of one anchor form a run.  Runs are dealt by the hash of their anchor and
-   ordered by the hash of their bytes, and each looks at its neighbours only: alone in its anchor it repeats nothing; next to an equal run all its windows
-   repeat; else it is open.  A hot anchor is a stream of rows, never a group in memory, in this step.
+1. Every window of 200 bytes has an anchor (``anchors``); neighbouring windows of one anchor form a run.  Equal runs of a batch are told at once; one for
+   them and the others are dealt by the hash of their anchor and ordered by the hash of their bytes, and each looks at its neighbours only: alone in its
+   anchor it repeats nothing; next to an equal run all its windows repeat; else it is open.  A hot anchor is a stream of rows here, never a group in memory.
 2. Open runs, and one of the equal runs beside them, are cut from their texts in two parts (windows reaching far to the right or to the left of the anchor),
    which are dealt by the hash of the 132 bytes that all windows of a part hold.
 3. Each such group's windows are suffixes to be sorted: multikey passes over eight bytes at a time down to a shallow depth, where only suffixes that are
@@ -36,7 +36,12 @@ REACH = (LENGTH - GRAM) // 2
 
 
 def entries(b: pa.RecordBatch) -> pa.RecordBatch | None:
-    """The runs of a batch of texts: gram, span, key, place (first window, offset of the anchor, number of further windows, in one number)."""
+    """The runs of a batch of texts: gram, span, key, place (first window, offset of the anchor, number of further windows, in one number), kind.
+
+    Runs that are equal to another of the batch repeat whatever the other tasks find (kind 1); they are dealt out evenly, under a number of their own in
+    place of the anchor, and one of them (kind 2) stands for all among the runs of its anchor.  So a passage that very many documents share, or a text
+    that says one thing over and over, meets in one task as one row a batch.
+    """
     out: list[tuple[np.ndarray, ...]] = []
     held: list[bytes] = []
     spots: list[tuple[int, int, int]] = []  # start in the segment, key, offset in the text
@@ -70,7 +75,19 @@ def entries(b: pa.RecordBatch) -> pa.RecordBatch | None:
     flush()
     if not out:
         return None
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["gram", "span", "key", "place"])
+    gram, span, key, place = (np.concatenate(c) for c in zip(*out, strict=True))
+    order = np.lexsort((span, gram))
+    same = (gram[order][1:] == gram[order][:-1]) & (span[order][1:] == span[order][:-1])
+    after, before = np.append(False, same), np.append(same, False)
+    first = order[before & ~after]
+    many = order[before | after]
+    kind = np.zeros(len(gram), np.int32)
+    kind[many] = 1
+    lead = [gram[first], span[first], key[first], place[first]]
+    gram = gram.copy()
+    gram[many] = anchors.mix((key[many] + place[many] * 1_000_003).view(np.uint64)).view(np.int64)
+    cols = [np.concatenate((a, b)) for a, b in zip((gram, span, key, place, kind), (*lead, np.full(len(first), 2, np.int32)), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "span", "key", "place", "kind"])
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -208,10 +225,10 @@ def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def stretches(docs: DataFrame, keyed: DataFrame, kept: Kept) -> DataFrame:
     """key, start, stop (bytes) of repeated stretches; they overlap."""
-    run = arrow_pass(keyed.select("key", "text"), entries, "gram long, span long, key long, place long")
+    run = arrow_pass(keyed.select("key", "text"), entries, "gram long, span long, key long, place long, kind int")
     w = Window.partitionBy("gram").orderBy("span", "key", "place")
-    seen = run.withColumn("prev", F.lag("span").over(w)).withColumn("next", F.lead("span").over(w)).where("prev is not null or next is not null")
-    equal = F.coalesce(F.col("prev") == F.col("span"), F.lit(False)) | F.coalesce(F.col("next") == F.col("span"), F.lit(False))
+    seen = run.withColumn("prev", F.lag("span").over(w)).withColumn("next", F.lead("span").over(w)).where("prev is not null or next is not null or kind = 1")
+    equal = (F.col("kind") > 0) | F.coalesce(F.col("prev") == F.col("span"), F.lit(False)) | F.coalesce(F.col("next") == F.col("span"), F.lit(False))
     beside = F.coalesce(F.col("prev") != F.col("span"), F.lit(False)) | F.coalesce(F.col("next") != F.col("span"), F.lit(False))
     known, _ = kept.write(seen.select("gram", "key", "place", equal.alias("equal"), beside.alias("beside")))
     lo, off, more = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255))
