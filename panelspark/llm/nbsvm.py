@@ -72,20 +72,23 @@ def log_count_ratio(rows: list[np.ndarray], label: np.ndarray, alpha: float = 1.
     return (np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())).astype(np.float32)
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], label: np.ndarray, c: float, passes: int, seed: int = 7) -> tuple[np.ndarray, float]:
-    """min 1/2 |w|^2 + c sum max(0, 1 - y w.x) with a bias feature of 1; rows whose multiplier stays at a bound cost one product."""
+def dual_coordinate_descent(rows: list[np.ndarray], ratio: np.ndarray, label: np.ndarray, c: float, passes: int, seed: int = 7) -> tuple[np.ndarray, float]:
+    """min 1/2 |w|^2 + c sum max(0, 1 - y w.x) over rows scaled to unit length, with a bias feature of 1; both classes get the same total weight.
+
+    A row's values are taken from ``ratio`` when it is visited, so nothing is held beside its indicators.
+    """
     w, bias = np.zeros(SLOTS), 0.0
     y, alpha = 2.0 * label - 1, np.zeros(len(rows))
-    square = np.array([float(v @ v) + 1 for v in values])
-    # both classes get the same total weight
+    size = np.array([float(np.square(ratio[g], dtype=np.float64).sum()) ** 0.5 or 1.0 for g in rows])
     top = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
     draw = np.random.default_rng(seed)
     for _ in range(passes):
         moved = 0.0
         for i in draw.permutation(len(rows)):
-            g, v = rows[i], values[i]
+            g = rows[i]
+            v = ratio[g] / size[i]
             slack = y[i] * (float(w[g] @ v) + bias) - 1
-            new = min(max(alpha[i] - slack / square[i], 0.0), top[i])
+            new = min(max(alpha[i] - slack / 2, 0.0), top[i])  # a row and its bias feature have squared length 2
             if step := (new - alpha[i]) * y[i]:
                 w[g] += step * v
                 bias += step
@@ -120,11 +123,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, c: float = 1.0, passes: int =
     ratio = log_count_ratio(rows, label)
 
     def one(at: np.ndarray) -> tuple[np.ndarray, float]:
-        got, values = [rows[i] for i in at], []
-        for g in got:
-            v = ratio[g].astype(np.float64)
-            values.append(v / (math.sqrt(float(v @ v)) or 1.0))
-        return dual_coordinate_descent(got, values, label[at], c, passes)
+        return dual_coordinate_descent([rows[i] for i in at], ratio, label[at], c, passes)
 
     out = np.arange(len(rows)) % 5 == 4
     if len(set(label[out].tolist())) < 2 or len(set(label[~out].tolist())) < 2:
@@ -149,9 +148,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([grams(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "label", "grams"])
 
-    got = arrow_pass(texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"), run, "doc_id long, label int, grams binary").collect()
-    got.sort(key=lambda r: (r[0], r[2]))
-    return fit([np.frombuffer(r[2], np.uint32) for r in got], np.array([r[1] for r in got], np.int64))
+    got = arrow_pass(texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"), run, "doc_id long, label int, grams binary").toArrow()
+    rows = [np.frombuffer(g.as_buffer(), np.uint32) for g in got.column("grams")]
+    ids = got.column("doc_id").to_pylist()
+    order = sorted(range(got.num_rows), key=lambda i: (ids[i], len(rows[i])))
+    label = got.column("label").to_numpy()
+    return fit([rows[i] for i in order], label[order].astype(np.int64) if len(order) else np.zeros(0, np.int64))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
