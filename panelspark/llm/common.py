@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from panelspark.session import checkpoint_dir
 
+#: Rows that a Python pass handles at a time.
+ROWS = 1000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -25,12 +27,13 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``fn`` over the batches of each partition; at most one batch and its output are held."""
+    """``fn`` over each partition, ``ROWS`` rows at a time; what is held beside Spark's batch is the output for so many rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (out := fn(b)) is not None and out.num_rows:
-                yield out
+            for at in range(0, b.num_rows, ROWS):
+                if (out := fn(b.slice(at, ROWS))) is not None and out.num_rows:
+                    yield out
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
