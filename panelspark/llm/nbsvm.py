@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import arrow_pass, texts
 
 BITS = 20
-MAX_ROWS = 8000
+MAX_ROWS = 4000
 CHUNK = 1 << 20
 #: Indicators that state the variety of a text; as many as give it weight beside the n-grams.
 SPREAD = 24
@@ -153,7 +153,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     ids = got.column("doc_id").to_pylist()
     order = sorted(range(got.num_rows), key=lambda i: (ids[i], len(rows[i])))
     label = got.column("label").to_numpy()
-    return fit([rows[i] for i in order], label[order].astype(np.int64) if len(order) else np.zeros(0, np.int64))
+    model = fit([rows[i] for i in order], label[order].astype(np.int64) if len(order) else np.zeros(0, np.int64))
+    del got, rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
