@@ -15,6 +15,8 @@ columns are fine.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,41 +27,45 @@ from panelspark.llm.common import Kept, arrow_pass, texts
 from panelspark.llm.components import components
 
 BITS, SEED, CHUNK = 64, 42, 1 << 16
-#: Odd multipliers of a common 64-bit mixer.
-MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
+#: Minima a band, bands: of pairs of similarity 0.8, (1 - 0.8 ** 6) ** 24 = 0.07 % share no band, of 0.85 0.0006 %.
+DEEP, BANDS = 6, 24
+#: What tells the orders of the minima apart.
+SALT, ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, DEEP * BANDS, 1), np.uint64)
+ODD |= np.uint64(1)
 
 
-def majority(text: str, width: int, more: int = 0) -> list[int]:
-    """The fingerprint, then ``more`` further words of it from remixed hashes."""
+def digests(text: str, width: int) -> Iterator[np.ndarray]:
+    """The hashes of the shingles in order, ``CHUNK`` at a time; nothing for a text without words."""
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return [0] * (1 + more)
+        return
     width = min(width, len(words))
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     stop = size.cumsum()
     begin, end = (stop - size)[: len(words) - width + 1].tolist(), (stop - 1)[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros((1 + more, BITS), np.int64)
     for at in range(0, len(begin), CHUNK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(begin[at : at + CHUNK], end[at : at + CHUNK], strict=True)], np.uint64)
-        for k in range(1 + more):
-            if k:
-                h = (h ^ (h >> np.uint64(30))) * np.uint64(MIX[k % 3])
-                h = h ^ (h >> np.uint64(27))
-            ones[k] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return [int.from_bytes(np.packbits(2 * o > len(begin)).tobytes(), "big") for o in ones]
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(begin[at : at + CHUNK], end[at : at + CHUNK], strict=True)], np.uint64)
+
+
+def majority(text: str, width: int) -> int:
+    """The fingerprint."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for h in digests(text, width):
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 4, more: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (signed 64 bits) and fp1, fp2, ... for every row."""
-    names = ["fp", *(f"fp{k + 1}" for k in range(more))]
+def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and fp (signed 64 bits) for every row."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        got = np.array([majority(t, width, more) for t in b.column("text").to_pylist()], np.uint64).reshape(-1, 1 + more).view(np.int64)
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(got[:, k]) for k in range(1 + more))], names=["doc_id", *names])
+        got = np.array([majority(t, width) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got)], names=["doc_id", "fp"])
 
-    return arrow_pass(texts(docs, id_col, text_col), run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return arrow_pass(texts(docs, id_col, text_col), run, "doc_id long, fp long")
 
 
 def signatures(fp: Column, distance: int) -> Column:
@@ -73,9 +79,8 @@ def signatures(fp: Column, distance: int) -> Column:
     return F.array(*keys)
 
 
-def links(fps: DataFrame, distance: int, accept=None) -> tuple[DataFrame, DataFrame]:
-    """(component labels of the linked fingerprints as node and root, the kept table of buckets).  ``fps``: distinct ``fp``; ``accept`` filters pairs ``a, b``."""
-    accept = accept or (lambda pairs: pairs)
+def links(fps: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(component labels of the linked fingerprints as node and root, the kept table of buckets).  ``fps``: distinct ``fp``."""
     kept = Kept(fps.sparkSession, "simhash")
     key = Window.partitionBy("key")
     seen = key.orderBy("fp")
@@ -84,7 +89,7 @@ def links(fps: DataFrame, distance: int, accept=None) -> tuple[DataFrame, DataFr
     bucket = spread.select("key", "fp", F.first("fp").over(seen).alias("head"), F.lag("fp").over(seen).alias("prev"), F.count("*").over(key).alias("n")).where("n > 1")
     bucket, path = kept.write(bucket)
     first = bucket.where(far("fp", "prev") <= distance).select(F.col("fp").alias("a"), F.col("prev").alias("b")).unionByName(bucket.where((F.col("head") != F.col("fp")) & (far("fp", "head") <= distance)).select(F.col("fp").alias("a"), F.col("head").alias("b")))
-    first, _ = kept.write(accept(first.distinct()))
+    first, _ = kept.write(first.distinct())
     label = components(first)
     # what is left: pairs of different components in buckets of four and more; in smaller ones every pair has been compared
     of = bucket.where("n > 3").select("key", "fp").join(label.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
@@ -93,7 +98,7 @@ def links(fps: DataFrame, distance: int, accept=None) -> tuple[DataFrame, DataFr
     mixed, mixed_path = kept.write(mixed)
     few = mixed.where("root <> main").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
     pairs = few.join(mixed.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"), "main"), "key").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & (far("a", "b") <= distance))
-    second, _ = kept.write(accept(pairs.select("a", "b").distinct()))
+    second, _ = kept.write(pairs.select("a", "b").distinct())
     kept.drop(mixed_path)
     kept.drop(path)
     if second.limit(1).count():
@@ -112,42 +117,88 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     return own.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Words of 64 bits beside the first; the share of equal bits in all of them estimates the angle between two texts' shingle sets.
-MORE = 3
+def shingles(text: str, width: int) -> np.ndarray:
+    """The distinct hashes of the shingles, ascending; a text without words has one shingle of its own."""
+    got = list(digests(text, width))
+    return np.unique(np.concatenate(got)) if got else np.zeros(1, np.uint64)
+
+
+def bands(h: np.ndarray) -> list[int]:
+    """``BANDS`` numbers (signed 64 bits) of a set of hashes: each stands for its least members in ``DEEP`` orders."""
+    least = np.full(DEEP * BANDS, np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 512):
+        x = (h[None, at : at + 512] ^ SALT) * ODD
+        x ^= x >> np.uint64(32)
+        x *= ODD
+        np.minimum(least, x.min(axis=1), out=least)
+    return [xxhash.xxh64_intdigest(least[k * DEEP : (k + 1) * DEEP].tobytes(), k) - (1 << 63) for k in range(BANDS)]
 
 
-def widest(similarity: float, bits: int) -> int:
-    """Differing bits among ``bits`` at which two equally large sets have that similarity (Jaccard): the angle has cosine 2s / (1 + s)."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def alike(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two ascending sets."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, text: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` whose texts (``doc_id, text``) have that similarity of their sets of shingles."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        good, last, held = [], None, None
+        for x, key, y in zip(b.column("ta").to_pylist(), b.column("b").to_pylist(), b.column("tb").to_pylist(), strict=True):
+            if key != last:
+                last, held = key, shingles(y, width)
+            good.append(alike(shingles(x, width), held) >= similarity)
+        return b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    left, right = text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    return arrow_pass(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 7) -> DataFrame:
+def alike_components(own: DataFrame, text: DataFrame, width: int, similarity: float) -> DataFrame:
+    """node, root of the texts linked by pairs of that similarity.  ``own``: distinct ``node``, n (number of shingles), bands; ``text``: the same nodes as ``doc_id, text``.
+
+    A text is compared with one least member of its buckets; then each bucket compares the texts outside its largest component with those of others.
+    """
+    kept = Kept(own.sparkSession, "alike")
+    key = Window.partitionBy("key")
+    fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity - 1e-6  # noqa: E731  # sets of such sizes can be as similar
+    spread = own.select("node", "n", F.explode("bands").alias("key"))
+    bucket, path = kept.write(spread.select("key", "node", "n", F.min("node").over(key).alias("head"), F.max("node").over(key).alias("last")).where("head <> last").drop("last"))
+    # only the texts that meet another are read again
+    some, _ = kept.write(text.join(bucket.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    first, _ = kept.write(verified(bucket.where("node <> head").groupBy(F.col("node").alias("a")).agg(F.min("head").alias("b")), some, width, similarity))
+    label = components(first)
+    of = bucket.select("key", "node", "n").join(label, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    counted = of.withColumn("size", F.count("*").over(Window.partitionBy("key", "root")))
+    mixed = counted.select("key", "node", "n", "root", F.max(F.struct("size", "root")).over(key)["root"].alias("main"), F.min("root").over(key).alias("lo"), F.max("root").over(key).alias("hi")).where("lo <> hi").drop("lo", "hi")
+    mixed, _ = kept.write(mixed)
+    kept.drop(path)
+    few = mixed.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    pairs = few.join(mixed.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), "main"), "key")
+    pairs = pairs.where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & fits(F.col("na"), F.col("nb")))
+    second, _ = kept.write(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), some, width, similarity))
+    return components(first.unionByName(second)) if second.limit(1).count() else label
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest id (then the least text) stays.
 
-    Fingerprints of 5-word shingles meet within ``distance`` of 64 bits; a link needs an estimated similarity of ``similarity`` over 256 bits.  Texts of
-    equal 64 bits are compared over the 256 bits with the first of them.  Texts without words are copies of one another.  Several rows of one id come
+    Texts that share one of ``BANDS`` bands of minima of their sets of ``width``-word shingles are compared by these sets themselves, and linked from a
+    similarity (Jaccard) of ``similarity`` on.  Texts without words are copies of one another.  Several rows of one id come
     down to one; rows without id are left alone.
     """
     kept = Kept(docs.sparkSession, "near")
-    names = ["fp", *(f"fp{k + 1}" for k in range(MORE))]
-    own, _ = kept.write(fingerprints(docs.where("doc_id is not null"), width, MORE))
-    node, _ = kept.write(own.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("head", F.row_number().over(Window.partitionBy("fp").orderBy("least", *names[1:])) == 1))
-    heads = node.where("head").select(*names)
-    most = widest(similarity, BITS * (1 + MORE))
-
-    def apart(left: str, right: str) -> Column:
-        return sum((F.bit_count(F.col(f"{left}{n}").bitwiseXOR(F.col(f"{right}{n}"))) for n in names), F.lit(0))
-
-    def accept(pairs: DataFrame) -> DataFrame:
-        a, b = heads.select(*[F.col(n).alias(f"a_{n}") for n in names]), heads.select(*[F.col(n).alias(f"b_{n}") for n in names])
-        return pairs.join(a, F.col("a") == F.col("a_fp")).join(b, F.col("b") == F.col("b_fp")).where(apart("a_", "b_") <= most).select("a", "b")
-
-    label, _ = links(heads.select("fp"), distance, accept)
-    rest = node.where("not head").join(heads.select(F.col("fp"), *[F.col(n).alias(f"h_{n}") for n in names[1:]]), "fp").withColumn("h_fp", F.col("fp")).withColumn("joins", apart("", "h_") <= most)
-    rooted = node.where("head").select(*names, "least", F.lit(True).alias("joins")).unionByName(rest.select(*names, "least", "joins")).join(label.withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = rooted.withColumn("root", F.when(F.col("joins"), F.struct(F.coalesce("root", "fp").alias("r"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("z"))).otherwise(F.struct(F.col("fp").alias("r"), F.col("fp1").alias("x"), F.col("fp2").alias("y"), F.col("fp3").alias("z"))))
-    stays = rooted.groupBy("root").agg(F.min("least").alias("doc_id"))
-    ids = stays.select("doc_id")
-    rows = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi")
-    first = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where("__nth = 1").drop("__nth")
+    rows = docs.where("doc_id is not null")
+    each = texts(rows).select(F.xxhash64("text").alias("node"), F.col("doc_id").alias("id"), "text").groupBy("node").agg(F.min("id").alias("least"), F.first("text").alias("text"))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, width) for t in b.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column("node"), b.column("least"), pa.array(list(map(len, sets)), pa.int32()), pa.array([bands(h) for h in sets], pa.list_(pa.int64()))], names=["node", "least", "n", "bands"])
+
+    own, _ = kept.write(arrow_pass(each, run, "node long, least long, n int, bands array<long>"))
+    label = alike_components(own, texts(each, "node"), width, similarity)
+    rooted = own.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("doc_id")).select("doc_id")
+    first = rows.join(ids, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where("__nth = 1").drop("__nth")
     return first.unionByName(docs.where("doc_id is null"))

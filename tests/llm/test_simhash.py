@@ -90,6 +90,32 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def shingle_set(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def test_one_of_each_meets_all_from_the_bound_on_and_none_below(spark):
+    draw = np.random.default_rng(8)
+    rows, stays = [], set()
+    for i in range(180):
+        base = [f"w{x}" for x in draw.integers(0, 1 << 40, 300)]
+        n = (3, 5, 6, 8, 9)[i % 5]
+        other = list(base)
+        for k in range(n):
+            other[15 + 30 * k] = f"v{i}-{k}"
+        s = jaccard(" ".join(base), " ".join(other))
+        assert (s >= 0.8) == (n < 8)
+        rows += [(2 * i, " ".join(base), "en", "s", 1), (2 * i + 1, " ".join(other), "en", "s", 1)]
+        stays |= {2 * i} if s >= 0.8 else {2 * i, 2 * i + 1}
+    assert {r[0] for r in simhash.one_of_each(spark.createDataFrame(rows, DOCS)).collect()} == stays
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 200)] + [(7, 7), (None, 3), (100, 101)]
     got = {r[0]: r[1] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
