@@ -49,14 +49,14 @@ ODD = re.compile("[" + "".join(HOMOGLYPHS) + INVISIBLE + "０-９Ａ-Ｚａ-ｚ
 NUMBER = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 #: Three number words or digits in a row at least, of which one is a word; "plus" may lead.
 SPELLED = re.compile(rf"\b(?:plus[ -]+)?(?:(?:{NUMBER})\b|[0-9])(?:[ -]{{0,2}}(?:\b(?:{NUMBER}|dot|point|punkt|punto)\b|[0-9.]))+", re.I)
-SPELLED_HINT = re.compile(rf"\b(?:{NUMBER})[ -]+(?:{NUMBER}|dot|point|punkt|punto)\b", re.I)
 WORDY = re.compile(rf"[ -]*\b(plus|{NUMBER}|dot|point|punkt|punto)\b[ -]*", re.I)
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
 AT_BOXED = re.compile(rf"[ ]?{OPEN}[ ]?(?:at|ät|arroba|arobase|@)[ ]?{CLOSE}[ ]?", re.I)
 DOT_BOXED = re.compile(rf"[ ]?{OPEN}[ ]?(?:dot|punkt|point|punto|\.)[ ]?{CLOSE}[ ]?", re.I)
 #: name at host dot tld
-AT_WORDS = re.compile(r"(?<=[A-Za-z0-9]) (?:at|AT) (?=[A-Za-z0-9-]+(?:(?: (?:dot|DOT) |\.)[A-Za-z0-9-]+)*? (?:dot|DOT) [A-Za-z])")
-DOT_WORDS = re.compile(r"(?<=[A-Za-z0-9]) (?:dot|DOT) (?=[A-Za-z0-9])")
+AT_WORDS = re.compile(r"(?<=[A-Za-z0-9]) at (?=[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)*? dot [A-Za-z])", re.I)
+DOT_WORDS = re.compile(r"(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9])", re.I)
+DOT_HINT = re.compile(r" dot ", re.I)
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -131,15 +131,20 @@ def spell(part: str) -> str:
     return WORDY.sub(lambda m: "+" if (w := m[1].lower()) == "plus" else DIGIT_WORDS.get(w, "."), part).replace(" ", "")
 
 
+def spelled(text: str) -> bool:
+    """Whether a number word stands beside a digit or another word; one that only ends a sentence does not count."""
+    return any(WORDY.search(m[0]) and len(spell(m[0]).rstrip(".")) > 1 for m in SPELLED.finditer(text))
+
+
 def edits_of(text: str):
     """The transducers in order; each gets the text that the one before left."""
     if not text.isascii():
         yield lambda t: [(m.start(), m.end(), plain_character(m[0])) for m in ODD.finditer(t)]
     yield lambda t: [(*m.span(), "@") for m in AT_BOXED.finditer(t)]
     yield lambda t: [(*m.span(), ".") for m in DOT_BOXED.finditer(t)]
-    yield lambda t: [(*m.span(), "@") for m in AT_WORDS.finditer(t)] if " dot " in t or " DOT " in t else []
-    yield lambda t: [(*m.span(), ".") for m in DOT_WORDS.finditer(t)] if " dot " in t or " DOT " in t else []
-    yield lambda t: [(*m.span(), spell(m[0])) for m in SPELLED.finditer(t) if WORDY.search(m[0])] if SPELLED_HINT.search(t) else []
+    yield lambda t: [(*m.span(), "@") for m in AT_WORDS.finditer(t)] if DOT_HINT.search(t) else []
+    yield lambda t: [(*m.span(), ".") for m in DOT_WORDS.finditer(t)] if DOT_HINT.search(t) else []
+    yield lambda t: [(*m.span(), spell(m[0])) for m in SPELLED.finditer(t) if WORDY.search(m[0])] if spelled(t) else []
 
 
 BOX = re.compile(rf"{OPEN}[ ]?(?:at|ät|arroba|arobase|dot|punkt|point|punto|@|\.)[ ]?{CLOSE}", re.I)
@@ -148,7 +153,7 @@ BOX = re.compile(rf"{OPEN}[ ]?(?:at|ät|arroba|arobase|dot|punkt|point|punto|@|\
 def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Findings that only the rewritten text shows, in source positions."""
     boxed = any(c in text for c in "[({<") and BOX.search(text)
-    if not (boxed or " dot " in text or " DOT " in text or SPELLED_HINT.search(text) or (not text.isascii() and ODD.search(text))):
+    if not (boxed or DOT_HINT.search(text) or spelled(text) or (not text.isascii() and ODD.search(text))):
         return []
     tape = Tape(text)
     for find in edits_of(text):

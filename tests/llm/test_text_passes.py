@@ -58,6 +58,23 @@ def test_disguises(text, want):
     assert [text[a:b] for _, a, b in found] == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("call +1 five 5 5 one 2 3 four 5 6 7 now", ["+1 five 5 5 one 2 3 four 5 6 7"]),
+        ("call plus 1 five 5 five 0 one 0 two 3 four now", ["plus 1 five 5 five 0 one 0 two 3 four"]),
+        ("ip one.2.3.four or 10 punkt 20 punkt 30 punkt 40", ["one.2.3.four", "10 punkt 20 punkt 30 punkt 40"]),
+        ("4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one", ["4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one"]),
+        ("write to John At mail Dot example dOt Com now", ["John At mail Dot example dOt Com"]),
+        ("John DOT Doe at example Dot com", ["John DOT Doe at example Dot com"]),
+        ("one. Chapter 5 one", []),
+    ],
+)
+def test_mixed_disguises(text, want):
+    found = deobfuscate.disguised(text, deobfuscate.detect(text))
+    assert [text[a:b] for _, a, b in found] == want
+
+
 def test_pii_odd_rows(spark):
     got = deobfuscate.find_personal_data(clashing(spark, [*ODD, (50, "9" * 60_000 + "a." * 20_000 + "@", "s")]))
     assert got.count() == len(ODD) + 1 and deobfuscate.find_personal_data(clashing(spark, [])).collect() == []
