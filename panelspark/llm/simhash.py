@@ -27,7 +27,7 @@ from panelspark.llm.common import Kept, arrow_pass, texts
 from panelspark.llm.components import components
 
 BITS, SEED, CHUNK = 64, 42, 1 << 16
-#: Minima a band, bands: of pairs of similarity 0.8, (1 - 0.8 ** 6) ** 24 = 0.07 % share no band, of 0.85 0.0006 %.
+#: Minima a band, bands: of pairs of similarity 0.8, (1 - 0.8 ** 6) ** 24 = 0.07 % share no band, of 0.85 0.0012 %.
 DEEP, BANDS = 6, 24
 #: What tells the orders of the minima apart.
 SALT, ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, DEEP * BANDS, 1), np.uint64)
@@ -182,11 +182,11 @@ def alike_components(own: DataFrame, text: DataFrame, width: int, similarity: fl
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row with the smallest id (then the least text) stays.
+    """The rows of ``docs`` without near copies: of each component the row with the smallest id (then the least hash of its text) stays.
 
     Texts that share one of ``BANDS`` bands of minima of their sets of ``width``-word shingles are compared by these sets themselves, and linked from a
-    similarity (Jaccard) of ``similarity`` on.  Texts without words are copies of one another.  Several rows of one id come
-    down to one; rows without id are left alone.
+    similarity (Jaccard) of ``similarity`` on.  Texts without words are copies of one another.  Rows of one id and
+    different texts are documents of their own; rows without id are left alone.
     """
     kept = Kept(docs.sparkSession, "near")
     rows = docs.where("doc_id is not null")
@@ -199,6 +199,8 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     own, _ = kept.write(arrow_pass(each, run, "node long, least long, n int, bands array<long>"))
     label = alike_components(own, texts(each, "node"), width, similarity)
     rooted = own.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("doc_id")).select("doc_id")
-    first = rows.join(ids, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where("__nth = 1").drop("__nth")
-    return first.unionByName(docs.where("doc_id is null"))
+    stays = rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("s")).select(F.col("s.least").alias("__id"), F.col("s.node").alias("__node"))
+    # repeated rows collapse before they are dealt out
+    one = rows.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__node"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    one = one.groupBy("__id", "__node").agg(F.first("__row").alias("__row")).join(stays, ["__id", "__node"], "left_semi")
+    return one.select("__row.*").unionByName(docs.where("doc_id is null"))

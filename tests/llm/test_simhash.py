@@ -116,6 +116,16 @@ def test_one_of_each_meets_all_from_the_bound_on_and_none_below(spark):
     assert {r[0] for r in simhash.one_of_each(spark.createDataFrame(rows, DOCS)).collect()} == stays
 
 
+def test_one_of_each_keeps_rows_of_one_id_that_are_no_copies(spark):
+    draw = np.random.default_rng(9)
+    text = [" ".join(f"w{x}" for x in draw.integers(0, 1 << 40, 200)) for _ in range(80)]
+    near = [t.rsplit(" ", 2)[0] + " changed end" for t in text[:2]]
+    # 1: the only low id of two groups; 5: many rows, one of them twice; 9: null and empty text
+    rows = [(1, text[0]), (2, near[0]), (1, text[1]), (3, near[1])] + [(5, t) for t in text[10:]] + [(5, text[10]), (9, None), (9, "")]
+    got = simhash.one_of_each(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)).collect()
+    assert sorted((r[0], r[1] or "") for r in got) == sorted([(1, text[0]), (1, text[1]), *((5, t) for t in text[10:]), (9, "")])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 200)] + [(7, 7), (None, 3), (100, 101)]
     got = {r[0]: r[1] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
