@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import arrow_pass, texts
 
 BITS = 20
-MAX_ROWS = 4000
+MAX_ROWS = 8000
 CHUNK = 1 << 20
 #: Indicators that state the variety of a text; as many as give it weight beside the n-grams.
 SPREAD = 24
@@ -48,6 +48,33 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate((got, (1 << BITS) + np.arange(block, block + SPREAD, dtype=np.uint32)))
 
 
+def pack(g: np.ndarray) -> bytes:
+    """Ascending numbers as their gaps, one byte each, and one of 255 more for every 255 in a gap."""
+    gap = np.diff(g.astype(np.int64), prepend=0)
+    end = (gap // 255 + 1).cumsum()
+    out = np.full(int(end[-1]) if len(g) else 0, 255, np.uint8)
+    out[end - 1] = gap % 255
+    return out.tobytes()
+
+
+class Packed:
+    """Rows of indicators that are unpacked when they are visited."""
+
+    def __init__(self, parts: list[pa.Scalar]):
+        self.parts = parts
+
+    def __len__(self) -> int:
+        return len(self.parts)
+
+    def __getitem__(self, at: int | np.ndarray) -> np.ndarray | Packed:
+        if isinstance(at, np.ndarray):
+            return Packed([self.parts[i] for i in at])
+        if at >= len(self.parts):
+            raise IndexError(at)
+        b = np.frombuffer(self.parts[at].as_buffer(), np.uint8)
+        return b.cumsum(dtype=np.uint32)[b < 255]
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # log-count ratio times hinge weight
@@ -123,7 +150,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, c: float = 1.0, passes: int =
     ratio = log_count_ratio(rows, label)
 
     def one(at: np.ndarray) -> tuple[np.ndarray, float]:
-        return dual_coordinate_descent([rows[i] for i in at], ratio, label[at], c, passes)
+        return dual_coordinate_descent(rows[at] if isinstance(rows, Packed) else [rows[i] for i in at], ratio, label[at], c, passes)
 
     out = np.arange(len(rows)) % 5 == 4
     if len(set(label[out].tolist())) < 2 or len(set(label[~out].tolist())) < 2:
@@ -146,14 +173,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     chosen = marked.where(~held_out()).groupBy("doc_id").agg((F.avg("q") >= 0.5).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([grams(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "label", "grams"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([pack(grams(t)) for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "label", "grams"])
 
     got = arrow_pass(texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"), run, "doc_id long, label int, grams binary").toArrow()
-    rows = [np.frombuffer(g.as_buffer(), np.uint32) for g in got.column("grams")]
-    ids = got.column("doc_id").to_pylist()
-    order = sorted(range(got.num_rows), key=lambda i: (ids[i], len(rows[i])))
+    rows = Packed(list(got.column("grams")))
+    ids, size = got.column("doc_id").to_pylist(), [len(g) for g in rows]
+    order = np.array(sorted(range(got.num_rows), key=lambda i: (ids[i], size[i])), np.int64)
     label = got.column("label").to_numpy()
-    model = fit([rows[i] for i in order], label[order].astype(np.int64) if len(order) else np.zeros(0, np.int64))
+    model = fit(rows[order], label[order].astype(np.int64) if len(order) else np.zeros(0, np.int64))
     del got, rows
     pa.default_memory_pool().release_unused()
     return model

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from panelspark.llm import nbsvm
 from panelspark.llm.queries import QUERIES
@@ -40,6 +41,22 @@ def test_no_labels_one_class_empty(spark, sf):
     assert nbsvm.score(docs.limit(0), ones).collect() == []
 
 
+def test_packed_rows_and_the_bound_of_the_fit(spark, sf):
+    draw = np.random.default_rng(6)
+    rows = [np.unique(draw.integers(0, nbsvm.SLOTS, n)).astype(np.uint32) for n in (0, 1, 30, 3000, 100_000)] + [np.array([0, 1, 255, 510, nbsvm.SLOTS - 1], np.uint32)]
+    packed = nbsvm.Packed([pa.scalar(nbsvm.pack(g), pa.binary()) for g in rows])
+    assert all(np.array_equal(a, b) and a.dtype == b.dtype for a, b in zip(packed, rows, strict=True))
+    assert np.array_equal(packed[np.array([4, 2])][1], rows[2])
+    docs = spark.range(12_000).selectExpr("id doc_id", "concat('text ', id % 2) text")
+    seen = []
+    nbsvm.fit, kept = lambda r, label: seen.append(len(r)) or kept(r, label), nbsvm.fit
+    try:
+        nbsvm.learn(docs, docs.selectExpr("doc_id", "int(doc_id % 2) quality"))
+    finally:
+        nbsvm.fit = kept
+    assert seen == [8000]
+
+
 def test_dual_coordinate_descent_separates():
     rows = [np.array([0, 2 + i % 3], np.uint32) if i % 2 else np.array([1, 2 + i % 3], np.uint32) for i in range(200)]
     label = np.array([i % 2 for i in range(200)])
