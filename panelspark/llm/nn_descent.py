@@ -5,7 +5,7 @@ end.  The first graph comes from blocks of rows that lie side by side under rand
 and reverse neighbours with one another: rows (node, neighbour, code of the neighbour) are sorted by node and taken in blocks of 64, so a node that
 very many others point to is many blocks, none of them left out.  Pairs closer than the farthest neighbour kept so far enter the graph.
 
-Building and search use vectors rounded to 8 bits a component; what is returned is measured on the original vectors in double precision.
+Building and search carry the vectors themselves (32 bits a component), and every distance is measured in double precision.
 
 Vectors that are null, zero, hold a null or non-finite component, or have another length than most take no part, neither as queries nor as candidates.
 Rows without id take none either.  Rows of equal id and equal vector count once; of equal id and different vectors each counts.  A table with few
@@ -41,13 +41,14 @@ def matrix(col: pa.Array, kind=np.float32) -> np.ndarray:
 
 
 def codes(col: pa.Array) -> np.ndarray:
-    """Fixed-length byte strings as rows of small integers."""
+    """Fixed-length byte strings as rows of components."""
     raw = b"".join(col.to_pylist())
-    return np.frombuffer(raw, np.int8).reshape(len(col), -1).astype(np.float32)
+    return np.frombuffer(raw, np.float32).reshape(len(col), -1).astype(np.float64)
 
 
-def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0)
+def squares(x: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows from all; taken from the differences, so neither a far row nor close ones blur them."""
+    return np.stack([np.square(x - row).sum(1) for row in x])
 
 
 def blocks(batches: Iterator[pa.RecordBatch], keys: list[str] | None, most: int) -> Iterator[pa.Table]:
@@ -84,31 +85,36 @@ def blocks(batches: Iterator[pa.RecordBatch], keys: list[str] | None, most: int)
 
 
 def first_graph(nodes: DataFrame, n: int, dim: int, k: int, seed: int = 11) -> DataFrame:
-    """node, nbr, d: the nearest in blocks of rows under each of several sets of random hyperplanes."""
-    planes = np.random.default_rng(seed).normal(size=(TREES * PLANES, dim)).astype(np.float32)
+    """node, nbr, d: the nearest in blocks of rows under each of several sets of random hyperplanes.
+
+    Rows on the same side of all planes, as those of a tight group, are cut into blocks along one more direction.
+    """
+    draw = np.random.default_rng(seed)
+    planes, axes = draw.normal(size=(TREES * PLANES, dim)), draw.normal(size=(TREES, dim))
     weight = (1 << np.arange(PLANES - 1, -1, -1)).astype(np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                side = (codes(b.column("code")) @ planes.T > 0).reshape(b.num_rows, TREES, PLANES) @ weight
+                x = codes(b.column("code"))
+                side, along = (x @ planes.T > 0).reshape(b.num_rows, TREES, PLANES) @ weight, x @ axes.T
                 for t in range(TREES):
-                    yield pa.RecordBatch.from_arrays([b.column("node"), b.column("code"), pa.array(np.full(b.num_rows, t, np.int32)), pa.array(side[:, t].astype(np.int32))], names=["node", "code", "tree", "leaf"])
+                    yield pa.RecordBatch.from_arrays([b.column("node"), b.column("code"), pa.array(np.full(b.num_rows, t, np.int32)), pa.array(side[:, t].astype(np.int32)), pa.array(along[:, t])], names=["node", "code", "tree", "leaf", "along"])
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in blocks(batches, ["tree"], LEAF):
             if t.num_rows < 2:
                 continue
             ids, x = np.asarray(t.column("node")), codes(t.column("code"))
-            d = squares(x, x)
+            d = squares(x)
             np.fill_diagonal(d, np.inf)
             m = min(k, len(ids) - 1)
             near = np.argpartition(d, m - 1, axis=1)[:, :m]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(ids[near.ravel()]), pa.array(np.take_along_axis(d, near, 1).ravel().astype(np.float32))], names=["node", "nbr", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(ids[near.ravel()]), pa.array(np.take_along_axis(d, near, 1).ravel())], names=["node", "nbr", "d"])
 
-    placed = nodes.mapInArrow(place, "node long, code binary, tree int, leaf int")
-    laid = placed.repartition(max(1, n * TREES // 8192), "tree", F.shiftright("leaf", PLANES - 5)).sortWithinPartitions("tree", "leaf")
-    return best(laid.mapInArrow(nearest, "node long, nbr long, d float"), k)
+    placed = nodes.mapInArrow(place, "node long, code binary, tree int, leaf int, along double")
+    laid = placed.repartition(max(1, n * TREES // 8192), "tree", F.shiftright("leaf", PLANES - 5)).sortWithinPartitions("tree", "leaf", "along")
+    return best(laid.mapInArrow(nearest, "node long, nbr long, d double"), k)
 
 
 def best(pairs: DataFrame, k: int) -> DataFrame:
@@ -120,9 +126,9 @@ def best(pairs: DataFrame, k: int) -> DataFrame:
 
 def descend(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """One round: node, nbr, d, fresh (1: found in this round)."""
-    far = graph.groupBy("node").agg(F.max("d").alias("far"), F.count("*").alias("n")).select("node", F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.col("far")).cast("float").alias("far"))
+    far = graph.groupBy("node").agg(F.max("d").alias("far"), F.count("*").alias("n")).select("node", F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.col("far")).alias("far"))
     both = graph.select(F.col("node").alias("at"), F.col("nbr").alias("node"), "fresh").unionByName(graph.select(F.col("nbr").alias("at"), "node", "fresh")).groupBy("at", "node").agg(F.max("fresh").alias("fresh"))
-    met = both.join(nodes.join(far, "node", "left").select("node", "code", F.coalesce("far", F.lit(float("inf"))).cast("float").alias("far")), "node")
+    met = both.join(nodes.join(far, "node", "left").select("node", "code", F.coalesce("far", F.lit(float("inf"))).alias("far")), "node")
     met = met.repartition("at").sortWithinPartitions("at", F.xxhash64("node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +138,7 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             if len(ids) < 2 or not fresh.any():
                 continue
             x = codes(t.column("code"))
-            d = squares(x, x)
+            d = squares(x)
             np.fill_diagonal(d, np.inf)
             i, j = np.nonzero((d < far[:, None]) & ((fresh[:, None] + fresh[None]) > 0))
             a.append(ids[i])
@@ -145,7 +151,7 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in (a, b, c)], names=["node", "nbr", "d"])
 
-    found = met.select("at", "node", "fresh", "far", "code").mapInArrow(run, "node long, nbr long, d float").withColumn("fresh", F.lit(1))
+    found = met.select("at", "node", "fresh", "far", "code").mapInArrow(run, "node long, nbr long, d double").withColumn("fresh", F.lit(1))
     return best(graph.select("node", "nbr", "d", F.lit(0).alias("fresh")).unionByName(found), k)
 
 
@@ -171,7 +177,7 @@ def closer(pairs: DataFrame) -> DataFrame:
                 d = np.square(codes(b.column("code")) - codes(b.column("qcode"))).sum(1)
                 yield pa.RecordBatch.from_arrays([b.column("q"), b.column("node"), pa.array(d)], names=["q", "node", "d"])
 
-    return pairs.select("q", "node", "code", "qcode").mapInArrow(run, "q long, node long, d float")
+    return pairs.select("q", "node", "code", "qcode").mapInArrow(run, "q long, node long, d double")
 
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, kept: Kept, beam: int = BEAM, hops: int = 12) -> DataFrame:
@@ -202,13 +208,13 @@ def nearest(rows: DataFrame, wanted, top: int = 10, id_col: str = "vec_id", vec_
     ship(spark)
     kept = Kept(spark, "neighbours")
     all_rows, _ = kept.write(usable(rows, id_col, vec_col))
-    span, dim, n = all_rows.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))), F.max(F.size("v")), F.count("*")).first()
-    span, dim = float(span or 1.0), int(dim or 1)
+    dim, n = all_rows.agg(F.max(F.size("v")), F.count("*")).first()
+    dim = int(dim or 1)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                q = np.rint(matrix(b.column("v"), np.float64) * (127 / span)).astype(np.int8)
+                q = matrix(b.column("v"))
                 yield pa.RecordBatch.from_arrays([b.column("node"), b.column("v"), pa.array([r.tobytes() for r in q], pa.binary())], names=["node", "v", "code"])
 
     # equal vectors: one node, of whose rows the first top + 1 can matter

@@ -48,6 +48,23 @@ def test_copies_ties_and_unusable_rows(spark):
     assert [i for i, _ in got[0]] == [i for i, _ in want[0]] and np.allclose([d for _, d in got[0]], [d for _, d in want[0]], rtol=1e-12)
 
 
+def recall(spark, rows, wanted):
+    got, want = collect(nn_descent.nearest(table(spark, rows), wanted)), brute(rows, wanted)
+    assert got.keys() == want.keys()
+    return sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+
+
+def test_recall_beside_an_outlier_row_and_within_a_tight_group(spark):
+    draw = np.random.default_rng(4)
+    unit = draw.normal(size=(1500, 16))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    unit[1] *= 10_000
+    unit[1000:] = unit[0] + draw.normal(size=(500, 16)) * 0.0005
+    rows = list(enumerate(unit.tolist()))
+    assert recall(spark, rows, lambda i: (i % 20 == 0) & (i < 1000)) >= 0.9
+    assert recall(spark, rows, lambda i: (i % 20 == 0) & (i >= 1000)) >= 0.9
+
+
 def test_few_rows(spark):
     got = collect(nn_descent.nearest(table(spark, [(0, [1, 2]), (1, [2, 3]), (2, [5, 5])]), lambda i: i % 100 == 0))
     assert [i for i, _ in got[0]] == [1, 2]
