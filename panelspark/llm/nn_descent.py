@@ -15,6 +15,7 @@ rows gives as many neighbours as there are; an empty one an empty result.  Only
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -124,12 +125,12 @@ def best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.groupBy("node", "nbr").agg(F.min("d").alias("d"), *extra).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
-def descend(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """One round: node, nbr, d, fresh (1: found in this round)."""
+def descend(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame:
+    """One round: node, nbr, d, fresh (1: found in this round).  ``turn`` deals the neighbours of a hub to other blocks each time."""
     far = graph.groupBy("node").agg(F.max("d").alias("far"), F.count("*").alias("n")).select("node", F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.col("far")).alias("far"))
     both = graph.select(F.col("node").alias("at"), F.col("nbr").alias("node"), "fresh").unionByName(graph.select(F.col("nbr").alias("at"), "node", "fresh")).groupBy("at", "node").agg(F.max("fresh").alias("fresh"))
     met = both.join(nodes.join(far, "node", "left").select("node", "code", F.coalesce("far", F.lit(float("inf"))).alias("far")), "node")
-    met = met.repartition("at").sortWithinPartitions("at", F.xxhash64("node"))
+    met = met.repartition("at").sortWithinPartitions("at", F.xxhash64("node", F.lit(turn)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, c, rows = [], [], [], 0
@@ -155,17 +156,16 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return best(graph.select("node", "nbr", "d", F.lit(0).alias("fresh")).unionByName(found), k)
 
 
-def build(nodes: DataFrame, n: int, dim: int, kept: Kept, k: int = NEIGHBOURS, rounds: int = 4, settled: float = 0.01) -> DataFrame:
+def build(nodes: DataFrame, n: int, dim: int, kept: Kept, k: int = NEIGHBOURS, settled: float = 0.01) -> DataFrame:
     """The graph, as a kept table: rounds go on until fewer than ``settled`` of its edges are new."""
     graph, path = kept.write(first_graph(nodes, n, dim, k).withColumn("fresh", F.lit(1)))
-    for _ in range(rounds):
-        new, new_path = kept.write(descend(graph, nodes, k))
+    for turn in count():
+        new, new_path = kept.write(descend(graph, nodes, k, turn))
         kept.drop(path)
         graph, path = new, new_path
         total, fresh = graph.agg(F.count("*"), F.sum("fresh")).first()
         if not total or fresh < settled * total:
-            break
-    return graph
+            return graph
 
 
 def closer(pairs: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def closer(pairs: DataFrame) -> DataFrame:
     return pairs.select("q", "node", "code", "qcode").mapInArrow(run, "q long, node long, d double")
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, kept: Kept, beam: int = BEAM, hops: int = 12) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, kept: Kept, beam: int = BEAM) -> DataFrame:
     """q, node: the ``beam`` nearest nodes found for each query (q, start, qcode).
 
     Every hop opens the beam's unopened nodes, measures their neighbours in either direction and keeps the nearest; it ends when no unopened node is left.
@@ -189,7 +189,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, kept: Kept, b
     start = queries.select("q", F.col("start").alias("node"), "qcode").join(nodes, "node")
     held, path = kept.write(closer(start).withColumn("open", F.lit(1)))
     order = Window.partitionBy("q").orderBy("d", "node")
-    for _ in range(hops):
+    while True:
         step = held.where("open = 1").select("q", "node").join(way, "node").select("q", F.col("nbr").alias("node")).distinct().join(held.select("q", "node"), ["q", "node"], "left_anti")
         seen = closer(step.join(nodes, "node").join(queries.select("q", "qcode"), "q"))
         new = held.select("q", "node", "d", F.lit(0).alias("open")).unionByName(seen.withColumn("open", F.lit(1))).withColumn("r", F.row_number().over(order)).where(F.col("r") <= beam).drop("r")

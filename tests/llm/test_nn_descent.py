@@ -1,6 +1,8 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from panelspark.llm import nn_descent
+from panelspark.llm.common import Kept
 
 SCHEMA = "vec_id long, embedding array<float>, node long, v string, d float"
 
@@ -65,6 +67,19 @@ def test_recall_beside_an_outlier_row_and_within_a_tight_group(spark):
     assert recall(spark, rows, lambda i: (i % 20 == 0) & (i >= 1000)) >= 0.9
 
 
+def test_rounds_go_on_until_settled(spark, monkeypatch):
+    turns = []
+
+    def descend(graph, nodes, k, turn):
+        turns.append(turn)
+        return graph.withColumn("fresh", F.lit(int(turn < 6)))
+
+    monkeypatch.setattr(nn_descent, "descend", descend)
+    nodes = spark.createDataFrame([(i, np.array([i, 1], np.float32).tobytes()) for i in range(5)], "node long, code binary")
+    nn_descent.build(nodes, 5, 2, Kept(spark, "rounds"))
+    assert turns == list(range(7))
+
+
 def test_few_rows(spark):
     got = collect(nn_descent.nearest(table(spark, [(0, [1, 2]), (1, [2, 3]), (2, [5, 5])]), lambda i: i % 100 == 0))
     assert [i for i, _ in got[0]] == [1, 2]
