@@ -72,3 +72,8 @@ class Kept:
 def n_words(text: Column) -> Column:
     """Number of runs of non-blank characters (ASCII blanks); null gives 0."""
     return F.coalesce(F.size(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long"), F.lit(0).cast("long"))
+
+
+#: DuckDB SQL of the unsigned CRC-32 of a text in UTF-8: the column ``t`` of a one-row table, and an expression over it.
+CRC32_TABLE_SQL = "SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) x(i)"
+CRC32_SQL = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"

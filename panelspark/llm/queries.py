@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import deobfuscate, line_spread, mixing, multiset_hash, nbsvm, nn_descent, pieces, simhash, suffix_dedup, url_bloom
+from panelspark.llm import collocations, deobfuscate, hilbert, line_spread, mixing, multiset_hash, nbsvm, nn_descent, pieces, prefix_trie, simhash, suffix_dedup, url_bloom
 from panelspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op5_line_dedup": line_spread.SQL, "op6_url_filters": url_bloom.SQL, "op8_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op5_line_dedup": line_spread.SQL, "op6_url_filters": url_bloom.SQL, "op8_mixing": mixing.SQL, "op11_sharding": hilbert.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_collocations": collocations.SQL}
 
 
 def piece_model() -> str:
@@ -79,3 +79,18 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digest(table(spark, sf_dir, "documents"), pieces.model_bytes(piece_model()))
+
+
+@query
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.best(table(spark, sf_dir, "documents"))
