@@ -28,15 +28,29 @@ def get_session(app: str = "panelspark", master: str | None = None, shuffle: int
     return spark
 
 
+#: Folders made where no checkpoint folder is set, by application: the setting cannot be changed in a running session.
+_made: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one, the same for the whole session, only where none is set (tests)."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    if context.applicationId not in _made:
+        _made[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _made[context.applicationId]
+
+
+def ship(spark: SparkSession) -> None:
+    """Python workers of a local session find this package where the driver found it; on a cluster it is installed or given with --py-files."""
+    env = spark.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
