@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import selection as so
+from panelspark.operators import pairs
 from panelspark.operators import statistics as st
 from panelspark.operators.windows import Series, rnd
 from panelspark.plans import sqltext as q
@@ -88,6 +89,19 @@ def effective_dimension(spark, sf):
     return rnd(st.participation(st.pair_correlations(r), r))
 
 
+@query("strong_pairs", "ST21 SO4", f"with {q.BARS}, {PAIRS} select a, b, n, {q.r('rho', 6, 'rho')} from pairs where abs(rho) >= 0.1 and not isnan(rho)")
+def strong_pairs(spark, sf):
+    """The synthetic returns are nearly independent, so the bound is low."""
+    return rnd(pairs.strong_pairs(returns(spark, sf), 0.1))
+
+
+@query("eigen_spectrum", "ST22", None)
+def eigen_spectrum(spark, sf):
+    """The three leading components of the returns, and of what the market leaves."""
+    r = returns(spark, sf)
+    return rnd(pairs.eigen_spectrum(r).withColumn("residual", F.lit(0)).unionByName(pairs.eigen_spectrum(r, residual=True).withColumn("residual", F.lit(1))))
+
+
 @query("component_shares", "ST22", None)
 def component_shares(spark, sf):
     h = derive.hour_bars(spark, sf)
