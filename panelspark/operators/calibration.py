@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators.aggregates import threshold_scan
 from panelspark.operators.order_stats import quantile_array, quantiles
+from panelspark.session import ship
 
 
 def reliability(df: DataFrame, keys: Sequence[str], p: str = "p_up", y: str = "y", bins: int = 10, min_samples: int = 0) -> DataFrame:
@@ -27,18 +30,6 @@ def calibration_errors(df: DataFrame, keys: Sequence[str], p: str = "p_up", y: s
     return brier.join(ece, list(keys)) if keys else brier.join(F.broadcast(ece))
 
 
-def fit_calibrators(calibration: DataFrame, p: str = "p_up", y: str = "y") -> dict:
-    """Platt (logistic on the logit) and isotonic fits on the calibration segment, as Spark ML models."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    d = calibration.select(F.col(p).alias("p"), logit(p).alias("logit"), F.col(y).cast("double").alias("label")).dropna()
-    platt = LogisticRegression(regParam=0.0, featuresCol="v").fit(VectorAssembler(inputCols=["logit"], outputCol="v").transform(d))
-    iso = IsotonicRegression(featuresCol="p", labelCol="label").fit(d)
-    return {"platt": (float(platt.coefficients[0]), float(platt.intercept)), "isotonic": (list(iso.boundaries), list(iso.predictions))}
-
-
 def logit(p) -> Column:
     c = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(p) if isinstance(p, str) else p))
     return F.log(c / (1 - c))
@@ -58,15 +49,6 @@ def apply_piecewise(p: str, xs: Sequence[float], ys: Sequence[float]) -> Column:
     return F.when(x.isNull(), None).when(i <= 0, F.get(ay, F.lit(0))).when(i >= n, F.get(ay, F.lit(n - 1))).otherwise(mid)
 
 
-def calibrate_and_evaluate(calibration: DataFrame, verify: DataFrame, p: str = "p_up", y: str = "y") -> DataFrame:
-    """Brier and ECE of the raw, Platt and isotonic legs on the later segment."""
-    m = fit_calibrators(calibration, p, y)
-    legs = F.array(F.struct(F.lit("base").alias("leg"), F.col(p).alias("q")), F.struct(F.lit("platt").alias("leg"), apply_platt(p, *m["platt"]).alias("q")),
-                   F.struct(F.lit("isotonic").alias("leg"), apply_piecewise(p, *m["isotonic"]).alias("q")))
-    x = verify.select(y, F.explode(legs).alias("_x")).select(y, "_x.leg", "_x.q")
-    return calibration_errors(x, ["leg"], "q", y)
-
-
 def conformal_quantiles(cal: DataFrame, keys: Sequence[str], alphas: Sequence[float], residual: str = "resid") -> DataFrame:
     """(keys, alpha, n, q): the ceil((n + 1)(1 - alpha)) / n quantile of the residuals, null where out of reach.
 
@@ -109,25 +91,24 @@ def prediction_sets(df: DataFrame, q: DataFrame, keys: Sequence[str], p: str = "
     return j.withColumn("set_confidence", 1 - (F.col("set_hi") - F.col("set_lo")))
 
 
-def coverage_bootstrap(covered: DataFrame, keys: Sequence[str], flag: str = "covered", row_id: Sequence[str] = ("symbol", "date"), draws: int = 200, seed: int = 11) -> DataFrame:
-    """Coverage with a 95 % interval from Poisson-bootstrap weights.
+def coverage_bootstrap(covered: DataFrame, keys: Sequence[str], flag: str = "covered", draws: int = 200, seed: int = 11) -> DataFrame:
+    """Coverage with the 95 % percentile interval of ``draws`` resamples of a group's rows.
 
-    The coverage of a draw is S / (S + F) with S and F Poisson totals over covered and uncovered rows, so each
-    (key, flag) class needs only its count: a Poisson(n) draw, not one weight per row.
+    Of n rows drawn with replacement from n, the covered ones are binomial, so a resample needs the group's two counts and no row.  Draws are
+    seeded by group and number: reruns agree.
     """
+    ship(covered.sparkSession)
     g = covered.filter(F.col(flag).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(flag).cast("double")).alias("coverage"))
-    d = g.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-
-    def normal(tag: int) -> Column:  # Box-Muller on hash uniforms
-        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), "_draw", *keys), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
-        v = F.pmod(F.xxhash64(F.lit(seed), F.lit(tag + 100), "_draw", *keys), F.lit(1 << 40)) / float(1 << 40)
-        return F.sqrt(-2 * F.log(u)) * F.cos(v * 6.283185307179586)
-
-    s, f = F.col("n") * F.col("coverage"), F.col("n") * (1 - F.col("coverage"))
-    sw, fw = F.greatest(s + F.sqrt(s) * normal(1), F.lit(0.0)), F.greatest(f + F.sqrt(f) * normal(2), F.lit(0.0))
-    d = d.withColumn("_c", F.try_divide(sw, sw + fw))
-    p = d.groupBy(*keys).agg(F.first("n").alias("n"), F.first("coverage").alias("coverage"), F.percentile("_c", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
-    return p.select(*keys, "n", "coverage", F.get("_q", F.lit(0)).alias("ci_low"), F.get("_q", F.lit(1)).alias("ci_high"))
+    d = g.withColumn("_seed", F.xxhash64(F.lit(seed), *keys)).repartition(*keys) if keys else g.withColumn("_seed", F.lit(seed).cast("long"))
+
+    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            share = [np.random.default_rng(int(s) & (1 << 63) - 1).binomial(n, c, draws) / n for s, n, c in zip(b["_seed"], b["n"], b["coverage"], strict=True)]
+            ends = np.percentile(np.array(share).reshape(-1, draws), [2.5, 97.5], axis=1) if len(b) else np.zeros((2, 0))
+            yield b.drop(columns="_seed").assign(ci_low=ends[0], ci_high=ends[1])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "_seed"]
+    return d.where("n > 0").mapInPandas(resample, ", ".join([*fields, "ci_low double", "ci_high double"]))
 
 
 def width_bins(df: DataFrame, keys: Sequence[str], bins: int = 5, width: str = "width", error: str = "error") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import calibration as ca
+from panelspark.operators import isotonic
 from panelspark.operators.aggregates import threshold_scan
 from panelspark.operators.windows import rnd
 from panelspark.plans import sqltext as q
@@ -32,9 +33,29 @@ def calibration_errors(spark, sf):
 
 @query("calibration_legs", "CA3 CA5", None)
 def calibration_legs(spark, sf):
-    d = labelled(spark, sf).filter("horizon = 5")
+    """Every horizon: raw, logistic and isotonic scores on the dates after those of the fit."""
+    d = labelled(spark, sf)
     cut = F.lit(CUT).cast("date")
-    return rnd(ca.calibrate_and_evaluate(d.filter(F.col("date") < cut), d.filter(F.col("date") >= cut)), 8)
+    return rnd(isotonic.calibrate_and_evaluate(d.filter(F.col("date") < cut), d.filter(F.col("date") >= cut), ["horizon"]), 8)
+
+
+_steps = f"""{Y}, gr as (select *, floor(p_up * 1000) / 1000 as x from yy), c0 as (select horizon, x, sum(y) as s, count(*) as n from gr where date < date '{CUT}' group by 1, 2),
+  c as (select *, row_number() over w as i, sum(s) over w as cs, sum(n) over w as cn from c0 window w as (partition by horizon order by x)),
+  av as (select a.horizon, a.i as i, b.i as j, (b.cs - a.cs + a.s)::double / (b.cn - a.cn + a.n) as m from c a join c b on a.horizon = b.horizon and a.i <= b.i),
+  mn as (select horizon, i, j, min(m) over (partition by horizon, i order by j desc rows between unbounded preceding and current row) as m from av), iso as (select horizon, j as i, max(m) as v from mn group by 1, 2),
+  th as (select horizon, x, v, lead(x) over w as x1, lead(v) over w as v1 from c join iso using (horizon, i) window w as (partition by horizon order by x)),
+  lo as (select horizon, min(x) as x0, arg_min(v, x) as v0 from th group by 1),
+  ap as (select g.horizon, g.y, g.x as p, case when g.x <= x0 then v0 when th.x1 is null then th.v else th.v + (th.v1 - th.v) * (g.x - th.x) / (th.x1 - th.x) end as q from gr g join lo using (horizon) asof left join th on g.horizon = th.horizon and g.x >= th.x where g.date >= date '{CUT}'),
+  legs as (select horizon, y, 'base' as leg, p as q from ap union all select horizon, y, 'isotonic', q from ap), be as (select horizon, leg, least(floor(q * 10), 9)::int as bin, q, y from legs),
+  ec as (select horizon, leg, sum(n * gap) / sum(n) as ece from (select horizon, leg, bin, count(*) as n, abs(avg(q) - avg(y)) as gap from be group by all) group by all)"""
+
+
+@query("isotonic_calibration", "CA3 CA5", f"with {_steps} select horizon, leg, count(*) as n, {q.rs(6, brier='avg(power(q - y, 2))', ece='max(ece)')} from be join ec using (horizon, leg) group by all")
+def isotonic_calibration(spark, sf):
+    """Scores on a grid of thousandths, fitted before the cut date and judged after it."""
+    d = labelled(spark, sf).withColumn("p_up", F.floor(F.col("p_up") * 1000) / 1000)
+    cut = F.lit(CUT).cast("date")
+    return rnd(isotonic.calibrate_and_evaluate(d.filter(F.col("date") < cut), d.filter(F.col("date") >= cut), ["horizon"], legs=("base", "isotonic")))
 
 
 XS, YS = [0.1, 0.3, 0.5, 0.7, 0.9], [0.25, 0.4, 0.5, 0.58, 0.8]
