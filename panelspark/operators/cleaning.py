@@ -224,11 +224,16 @@ def clamp_path(df: DataFrame, limit: float = 0.1, keys: Sequence[str] = ("symbol
 
 
 def business_days(df: DataFrame, date: str, n: int, holidays: DataFrame | None = None) -> DataFrame:
-    """The ``n`` business days after ``date`` of every row (n is small), skipping weekends and holidays."""
-    span = n * 2 + 10 + (30 if holidays is not None else 0)
+    """The ``n`` business days after ``date`` of every row (n is small), skipping weekends and holidays, however dense these are.
+
+    The window holds n weekdays and one more for every holiday that falls on a weekday, so n days are left in it whatever the holidays.
+    """
+    off = None if holidays is None else holidays.select(F.col("date").cast("date").alias("day")).where((F.weekday("day") < 5)).distinct()
+    more = 0 if off is None else off.count()  # a calendar, one row a day
+    span = -(-(n + more) // 5) * 7 + 7
     d = df.withColumn("day", F.explode(F.sequence(F.date_add(date, 1), F.date_add(date, span)))).filter(F.weekday("day") < 5)
-    if holidays is not None:
-        d = d.join(holidays.select(F.col("date").alias("day")), "day", "left_anti")
+    if off is not None:
+        d = d.join(off, "day", "left_anti")
     w = Window.partitionBy(*df.columns).orderBy("day")
     return d.withColumn("step", F.row_number().over(w)).filter(F.col("step") <= n)
 

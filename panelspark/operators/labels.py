@@ -63,11 +63,13 @@ def forward_risk(bars: DataFrame, h: int, vol_window: int = 20) -> DataFrame:
     }).drop("_r")
 
 
-def anchors(bars: DataFrame, h: int, step: int = 5, max_anchors: int = 120) -> DataFrame:
-    """Every ``step``-th row counted back from the last matured one, newest ``max_anchors`` per symbol, with its return."""
+def anchors(bars: DataFrame, h: int, step: int = 5, max_anchors: int | None = None) -> DataFrame:
+    """Every ``step``-th row counted back from the last matured one, all or the newest ``max_anchors`` per symbol, with its return."""
     back = Window.partitionBy("symbol").orderBy(F.desc("date"))
     df = bars.withColumns({"fwd_ret": S.lead("close", h) / F.col("close") - 1, "_k": F.row_number().over(back) - 1 - h, "_rn": S.row()})
-    keep = (F.col("_k") >= 0) & (F.col("_k") % step == 0) & (F.col("_k") / step < max_anchors) & (F.col("_rn") > 1)
+    keep = (F.col("_k") >= 0) & (F.col("_k") % step == 0) & (F.col("_rn") > 1)
+    if max_anchors is not None:
+        keep = keep & (F.col("_k") / step < max_anchors)
     return df.filter(keep).drop("_k", "_rn")
 
 

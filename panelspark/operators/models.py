@@ -10,11 +10,10 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators.order_stats import spearman
@@ -120,6 +119,48 @@ def score_latest(model: PipelineModel, features: DataFrame) -> DataFrame:
     return score(model, last)
 
 
+def train_horizons(panels: dict[int, DataFrame], features: Sequence[str], label: str = "target", kind: str = "gbt", **params) -> dict[int, PipelineModel]:
+    """One model per horizon from its own labelled panel."""
+    return {h: train(cut_lineage(p), features, label, kind, **params) for h, p in panels.items()}
+
+
+def score_horizons(models: dict[int, PipelineModel], latest: DataFrame, weights: dict[int, float] | None = None) -> DataFrame:
+    """``latest`` with ``p_up_<h>`` of every horizon, their blend ``p_up``, its direction, confidence and ``n_horizons``, in one pass over the rows.
+
+    The blend weighs the horizons that have a score (equally without ``weights``), so a missing one shifts its weight to the others; it is null where no
+    horizon has a score.  A horizon without a weight counts nothing.
+    """
+    out = latest
+    for h, m in models.items():
+        out = score(m, out, f"p_up_{h}")
+    part = [(F.col(f"p_up_{h}"), float((weights or {}).get(h, 0.0 if weights else 1.0))) for h in models]
+    have = sum((F.when(p.isNotNull(), F.lit(w)).otherwise(0.0) for p, w in part), F.lit(0.0))
+    total = sum((F.coalesce(p * w, F.lit(0.0)) for p, w in part), F.lit(0.0))
+    blend = F.when(have > 0, total / have)
+    out = out.withColumns({"p_up": blend, "n_horizons": sum((p.isNotNull().cast("int") for p, _ in part), F.lit(0))})
+    up = F.col("p_up") > 0.5
+    return out.withColumns({"direction": F.when(F.col("p_up").isNotNull(), F.when(up, "up").otherwise("down")), "confidence": F.greatest(F.col("p_up"), 1 - F.col("p_up"))})
+
+
+def holdout_by_horizon(panels: dict[int, DataFrame], features: Sequence[str], label: str = "target", folds: int = 3, kind: str = "gbt", **params) -> DataFrame:
+    """Out-of-sample scores of every horizon, with ``horizon``; each is purged by its own length."""
+    out = None
+    for h, p in panels.items():
+        s = walk_forward_scores(p, features, label, folds, h, kind, **params).withColumn("horizon", F.lit(h))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def factor_comparison(panel: DataFrame, base: Sequence[str], factors: Sequence[str], label: str = "target", ret: str = "_fwd_ret", folds: int = 3, kind: str = "gbt") -> DataFrame:
+    """The base features with and without the factors, on the rows that have all of them and the same folds: per fold both ICs and what the factors add."""
+    rows = cut_lineage(panel.dropna(subset=[*base, *factors, label]))
+    arm = {}
+    for name, cols in (("base", list(base)), ("factors", [*base, *factors])):
+        s = walk_forward_scores(rows, cols, label, folds, kind=kind)
+        arm[name] = spearman(s, ["fold"], "p_up", ret).select("fold", "n", F.col("ic").alias(f"ic_{name}"))
+    return arm["base"].join(arm["factors"].drop("n"), "fold").withColumn("added", F.col("ic_factors") - F.col("ic_base"))
+
+
 def retrain(model_features: Sequence[str], old: DataFrame, new: DataFrame, label: str = "target", kind: str = "logistic") -> PipelineModel:
     """Refit on the old rows plus the appended ones (Spark ML has no warm start)."""
     return train(old.unionByName(new), model_features, label, kind)
@@ -134,49 +175,6 @@ def fit_quality_classifier(df: DataFrame, features: Sequence[str], label: str =
     return s.withColumns({"quality_score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_score"))) * 100, "level": F.when(F.col("p_a") >= 0.5, "A").otherwise("B")}).drop("_x", "prediction", "probability", "rawPrediction", "_score")
 
 
-def mixture_regimes(obs: DataFrame, refit_every: int = 250, start: int = 250, states: int = 3, stay: float = 0.95) -> DataFrame:
-    """Expanding-window regime labels on a per-date observation table (log_ret, vol).
-
-    Every ``refit_every`` dates a Gaussian mixture is fitted on the past only; states are named by ascending mean
-    return, and the next stretch of dates is labelled by a forward filter with a fixed stay probability.  One row per
-    date, so the filter state is a short fold.
-    """
-    names = ["bear", "range", "bull"] if states == 3 else [f"s{i}" for i in range(states)]
-    d = obs.filter(F.col("vol").isNotNull() & F.col("log_ret").isNotNull() & ~F.isnan("vol") & ~F.isnan("log_ret")).withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("date")))
-    v = VectorAssembler(inputCols=["log_ret", "vol"], outputCol="_v").transform(d)
-    v = cut_lineage(v)
-    total = v.count()
-    out = None
-    for cut in range(start, total, refit_every):
-        past = v.filter(F.col("_k") <= cut)
-        sc = StandardScaler(inputCol="_v", outputCol="_x", withMean=True).fit(past)
-        m = GaussianMixture(k=states, featuresCol="_x", probabilityCol="_prob", predictionCol="_c", seed=11, maxIter=30).fit(sc.transform(past))
-        order = sorted(range(states), key=lambda i: m.gaussians[i].mean[0])
-        nxt = m.transform(sc.transform(v.filter((F.col("_k") > cut) & (F.col("_k") <= cut + refit_every))))
-        p = vector_to_array("_prob")
-        part = nxt.select("date", "_k", *[p[i].alias(f"_p{j}") for j, i in enumerate(order)])
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return obs.select("date").limit(0).withColumn("regime", F.lit(None).cast("string"))
-    return _forward_filter(out, states, stay, names)
-
-
-def _forward_filter(post: DataFrame, states: int, stay: float, names: Sequence[str]) -> DataFrame:
-    import pandas as pd
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("_k")
-        x, move, cur, lab = p[[f"_p{j}" for j in range(states)]].to_numpy(), (1 - stay) / max(states - 1, 1), None, []
-        for row in x:
-            prior = row if cur is None else (cur * stay + (1 - cur) * move)
-            cur = prior * (row + 1e-9)
-            cur = cur / cur.sum()
-            lab.append(names[int(cur.argmax())])
-        return pd.DataFrame({"date": p["date"], "regime": lab})
-
-    return post.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(run, "date date, regime string")  # one row per date
-
-
 def date_fraction_cut(panel: DataFrame, fraction: float) -> DataFrame:
     """The first date at which ``fraction`` of the rows lies before it (one row)."""
     return date_offsets(panel).filter(F.col("before") >= F.col("total") * fraction).agg(F.min("date").alias("cut"))

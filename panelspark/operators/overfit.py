@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.scalar import normal_cdf, normal_ppf
 from panelspark.operators.order_stats import positions, quantile_array, running_sum
 from panelspark.operators.windows import by_series
+from panelspark.session import cut_lineage
 
 EULER = 0.5772156649015329
 
@@ -83,36 +84,42 @@ def sharpe_inference(returns: DataFrame, keys: Sequence[str], n_trials: int, ret
     return m.withColumns({"psr": normal_cdf("_z0"), "dsr": normal_cdf("_z1"), "min_track_length": trl}).drop("_den", "_scale", "_z0", "_z1")
 
 
-def pbo_cscv(returns: DataFrame, trial: str, order: str, ret: str = "ret", n_blocks: int = 16) -> DataFrame:
+def pbo_cscv(returns: DataFrame, trial: str, order: str, ret: str = "ret", n_blocks: int = 16, min_block: int = 15, min_dates: int = 30) -> DataFrame:
     """Probability of backtest overfitting: blocks of equal date count are summed once (n, sum, sum of squares); every
     half-and-half split is a bit mask joined to those block sums.  The split table has C(n_blocks, n_blocks / 2) rows.
+
+    There are at most dates / ``min_block`` blocks, an even number; the dates left over at the end belong to none.  The champion is the trial with the
+    best ratio of mean and deviation in sample (a constant trial has ratio 0, ties go to the first name); a split is overfit if the champion beats less than half
+    of the other trials out of sample.  Under ``min_dates`` dates, two blocks or two trials there is no result row.
     """
     returns = returns.filter(F.col(ret).isNotNull())
-    days = returns.select(order).distinct().withColumn("_d", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order)) - 1)
-    n = days.agg(F.count(F.lit(1)).alias("_n"))
-    days = days.join(F.broadcast(n)).withColumn("block", F.floor(F.col("_d") / F.floor(F.col("_n") / n_blocks))).filter(F.col("block") < n_blocks)
+    days = cut_lineage(returns.select(order).distinct().withColumn("_d", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order)) - 1))  # one row a date
+    total, trials = days.count(), returns.select(trial).distinct().count()
+    blocks = min(n_blocks, total // min_block) // 2 * 2
+    if total < min_dates or blocks < 2 or trials < 2:
+        return returns.sparkSession.createDataFrame([], "splits long, pbo double, mean_logit double")
+    days = days.withColumn("block", F.floor(F.col("_d") / (total // blocks)).cast("int")).filter(F.col("block") < blocks)
     b = returns.join(days.select(order, "block"), order).groupBy(trial, "block").agg(
         F.count(F.lit(1)).alias("n"), F.sum(ret).alias("s"), F.sum(F.col(ret) * F.col(ret)).alias("q"))
-    sums = b.groupBy(trial).agg(F.collect_list(F.struct("block", "n", "s", "q")).alias("_b"))  # n_blocks structs per trial
-    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << n_blocks) - 1)), lambda m: F.bit_count(m) == n_blocks // 2)
+    sums = b.groupBy(trial).agg(F.collect_list(F.struct("block", "n", "s", "q")).alias("_b"))  # one struct a block
+    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << blocks) - 1)), lambda m: F.bit_count(m) == blocks // 2)
     j = by_series(sums.withColumn("mask", F.explode(masks)), ("mask",))
 
     def part(inside: int):
-        sel = F.filter("_b", lambda x: F.getbit(F.col("mask"), x["block"].cast("int")) == inside)
+        sel = F.filter("_b", lambda x: F.getbit(F.col("mask"), x["block"]) == inside)
 
         def tot(f):
             return F.aggregate(sel, F.lit(0.0), lambda a, x: a + x[f])
 
-        cnt, s1, s2 = tot("n"), tot("s"), tot("q")
-        var = (s2 - s1 * s1 / cnt) / (cnt - 1)
-        return F.when(var > 1e-24, s1 / cnt / F.sqrt(F.when(var > 0, var)))
+        mean = F.try_divide(tot("s"), tot("n"))
+        dev = F.sqrt(F.greatest(F.try_divide(tot("q"), tot("n")) - mean * mean, F.lit(0.0)))
+        return F.coalesce(F.when(dev > 1e-12, F.try_divide(mean, dev)), F.lit(0.0))
 
-    x = j.select("mask", trial, part(1).alias("is_sr"), part(0).alias("oos_sr")).filter(F.col("is_sr").isNotNull() & F.col("oos_sr").isNotNull())
-    w = Window.partitionBy("mask")
-    x = x.withColumns({"_r": F.rank().over(w.orderBy("oos_sr")), "_t": F.count(F.lit(1)).over(w)})
-    best = x.groupBy("mask").agg(F.max_by(F.col("_r") / (F.col("_t") + 1), F.struct("is_sr", trial)).alias("w"))
-    logit = F.log(F.col("w") / (1 - F.col("w")))
-    return best.agg(F.count(F.lit(1)).alias("splits"), F.avg((logit <= 0).cast("double")).alias("pbo"), F.avg(logit).alias("mean_logit"))
+    x = j.select("mask", trial, part(1).alias("is_sr"), part(0).alias("oos_sr"))
+    x = x.withColumn("_r", F.rank().over(Window.partitionBy("mask").orderBy("oos_sr")))
+    best = x.groupBy("mask").agg(F.min_by("_r", F.struct(-F.col("is_sr"), F.col(trial))).alias("_r"))
+    beaten, w = (F.col("_r") - 1) / (trials - 1), F.col("_r") / (trials + 1)
+    return best.agg(F.count(F.lit(1)).alias("splits"), F.avg((beaten < 0.5).cast("double")).alias("pbo"), F.avg(F.log(w / (1 - w))).alias("mean_logit"))
 
 
 def pbo_paths(scores: DataFrame, path: str = "path", trial: str = "trial", is_score: str = "is_score", oos_score: str = "oos_score") -> DataFrame:

@@ -75,10 +75,10 @@ def aligned_horizons(spark, sf):
     return rnd(jn.align_horizons(derive.scores(derive.bars(spark, sf)), [5, 10, 20], "fwd_ret"))
 
 
-@query("outer_date_alignment", "JN5", f"""with {q.BARS}, a as (select date, avg(close) as c from bars where cast(right(symbol, 1) as int) < 5 group by 1), o as (select cast(o_orderdate as date) as date, sum(o_totalprice) as v from orders group by 1)
+@query("outer_date_alignment", "JN5", f"""with {q.BARS}, a as (select date, avg(close) as c from bars group by 1), o as (select cast(o_orderdate as date) as date, sum(o_totalprice) as v from orders group by 1)
   select {q.D}, {q.rs(4, mean_close='c', order_value='v')} from a full outer join o using (date)""")
 def outer_date_alignment(spark, sf):
-    a = derive.bars(spark, sf).filter(F.right("symbol", F.lit(1)).cast("int") < 5).groupBy("date").agg(F.avg("close").alias("mean_close"))
+    a = derive.bars(spark, sf).groupBy("date").agg(F.avg("close").alias("mean_close"))
     o = derive.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.sum("o_totalprice").alias("order_value"))
     return rnd(a.join(o, "date", "full_outer"), 4)
 
@@ -177,8 +177,8 @@ def forecast_positions(spark, sf):
     return rnd(jn.forecast_positions(act, b.select("symbol", "date", F.col("close").alias("price"))))
 
 
-@query("missing_symbols", "JN12 SE4", """with u as (select p_partkey as symbol from part), h as (select distinct l_partkey as symbol from lineitem where l_quantity > 45) select symbol from u except select symbol from h""")
+@query("missing_symbols", "JN12 SE4", "select c_custkey as symbol from customer except select user_id from events")
 def missing_symbols(spark, sf):
-    u = derive.table(spark, sf, "part").select(F.col("p_partkey").alias("symbol"))
-    h = derive.table(spark, sf, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("symbol"))
+    u = derive.table(spark, sf, "customer").select(F.col("c_custkey").alias("symbol"))
+    h = derive.table(spark, sf, "events").select(F.col("user_id").alias("symbol"))
     return u.join(h, "symbol", "left_anti")

@@ -53,7 +53,7 @@ def forward_risk(spark, sf):
 @query("anchor_rows", "LB6", f"""with {q.BARS}, x as (select *, {q.lead('close', 5)} / close - 1 as fr, row_number() over (partition by symbol order by date desc) - 1 - 5 as k, row_number() over ({q.W}) as rn from bars)
   select symbol, {q.D}, {q.rs(6, close='close', fwd_ret='fr')} from x where k >= 0 and k % 5 = 0 and k / 5 < 120 and rn > 1""")
 def anchor_rows(spark, sf):
-    return rnd(lb.anchors(derive.bars(spark, sf), 5).select("symbol", "date", "close", "fwd_ret"))
+    return rnd(lb.anchors(derive.bars(spark, sf), 5, max_anchors=120).select("symbol", "date", "close", "fwd_ret"))
 
 
 @query("supervised_set", "LB7 SE1", f"""with {q.BARS}, x as (select *, close / {q.lag('close')} - 1 as ret_1, close / {q.avg('close', 20)} - 1 as ma_20_ratio, {q.lead('close', 5)} as f from bars), y as (select *, {q.sd('ret_1', 20)} as vol from x)

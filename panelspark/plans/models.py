@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import indicators as ti
+from panelspark.operators import regimes
 from panelspark.operators import labels as lb
 from panelspark.operators import models as ml
 from panelspark.operators import statistics as st
@@ -56,6 +57,27 @@ def label_comparison(spark, sf):
     return rnd(ml.label_comparison(panel(spark, sf).join(tb, ["symbol", "date"]), FEATURES, ["target", "tb_binary"], folds=2))
 
 
+@query("horizon_scores", "ML7", None)
+def horizon_scores(spark, sf):
+    """Latest rows of all symbols under the models of three horizons, and their blend."""
+    f = ti.base_features(derive.bars(spark, sf)).select("symbol", "date", *FEATURES)
+    models = ml.train_horizons({h: panel(spark, sf, h) for h in (1, 5, 20)}, FEATURES, kind="logistic")
+    last = f.groupBy("symbol").agg(F.max_by(F.struct("date", *FEATURES), "date").alias("z")).select("symbol", "z.*")
+    return rnd(ml.score_horizons(models, last, {1: 0.2, 5: 0.5, 20: 0.3}).drop(*FEATURES))
+
+
+@query("horizon_holdout", "RM14", None)
+def horizon_holdout(spark, sf):
+    s = ml.holdout_by_horizon({h: panel(spark, sf, h) for h in (1, 5, 20)}, FEATURES, folds=2, kind="logistic")
+    return rnd(s.select("horizon", "symbol", "date", "fold", "p_up", "target"))
+
+
+@query("factor_comparison", "ML5", None)
+def factor_comparison(spark, sf):
+    base = ["ma_5_ratio", "ma_20_ratio", "ret_1", "ret_5"]
+    return rnd(ml.factor_comparison(panel(spark, sf), base, [c for c in FEATURES if c not in base], folds=2, kind="logistic"))
+
+
 @query("parameter_search", "ML6", None)
 def parameter_search(spark, sf):
     return rnd(ml.tune(panel(spark, sf), FEATURES, [{"kind": "gbt", "maxDepth": 2}, {"kind": "gbt", "maxDepth": 4}, {"kind": "logistic"}], folds=2))
@@ -69,19 +91,22 @@ def incremental_retrain(spark, sf):
     return rnd(ml.score_latest(m, ti.base_features(derive.bars(spark, sf)).select("symbol", "date", *FEATURES)).select("symbol", "date", "p_up"))
 
 
+def market_observations(spark, sf):
+    return lb.regime_observations(market(spark, sf).withColumn("pool", F.lit("all")), keys=("pool",), ret="market_ret").select("pool", "date", "log_ret", "vol")
+
+
 @query("mixture_regimes", "XS4", None)
 def mixture_regimes(spark, sf):
-    m = market(spark, sf).withColumn("pool", F.lit("all"))
-    return rnd(ml.mixture_regimes(lb.regime_observations(m, keys=("pool",), ret="market_ret"), refit_every=500, start=500))
+    """Labels of the market's states; refits every 20 dates from the 60th on."""
+    return regimes.labels(market_observations(spark, sf)).select("date", "state", "regime")
 
 
 @query("regime_ic", "AG8 XS4", None)
 def regime_ic(spark, sf):
-    """Rank correlation of the score inside each mixture regime."""
+    """Rank correlation of the score inside each state."""
     from panelspark.operators.order_stats import spearman
 
-    m = market(spark, sf).withColumn("pool", F.lit("all"))
-    r = ml.mixture_regimes(lb.regime_observations(m, keys=("pool",), ret="market_ret"), refit_every=500, start=500)
+    r = regimes.labels(market_observations(spark, sf)).select("date", "regime")
     s = derive.scores(derive.bars(spark, sf), horizons=(5,)).join(r, "date")
     return rnd(spearman(s, ["regime"], "p_up", "fwd_ret"))
 

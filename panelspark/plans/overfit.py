@@ -65,12 +65,13 @@ def sharpe_inference(spark, sf):
 
 
 PB = f"""{RET}, pd as (select date, row_number() over (order by date) - 1 as d, count(*) over () as n from (select distinct date from ret0 where ret is not null)), bl as (select date, d // (n // 8) as block from pd), b as (select symbol, block, count(*) as n, sum(ret) as s, sum(ret * ret) as q from ret0 join bl using (date) where ret is not null and block < 8 group by 1, 2),
-  mk as (select m from range(0, 256) t(m) where bit_count(m) = 4), x as (select m, symbol, sum(case when (m >> block) & 1 = 1 then n end) as ni, sum(case when (m >> block) & 1 = 1 then s end) as si, sum(case when (m >> block) & 1 = 1 then q end) as qi,
-    sum(case when (m >> block) & 1 = 0 then n end) as n_o, sum(case when (m >> block) & 1 = 0 then s end) as so, sum(case when (m >> block) & 1 = 0 then q end) as qo from mk, b group by 1, 2),
-  sr as (select m, symbol, si / ni / sqrt((qi - si * si / ni) / (ni - 1)) as a, so / n_o / sqrt((qo - so * so / n_o) / (n_o - 1)) as o from x), rk as (select *, rank() over (partition by m order by o)::double / (count(*) over (partition by m) + 1) as w, row_number() over (partition by m order by a desc, symbol desc) as k from sr)"""
+  mk as (select m from range(0, 256) t(m) where bit_count(m) = 4), h as (select m, symbol, (m >> block) & 1 as inside, sum(n) as n, sum(s) as s, sum(q) as q from mk, b group by all),
+  sr as (select m, symbol, inside, case when sqrt(greatest(q / n - power(s / n, 2), 0)) > 1e-12 then s / n / sqrt(greatest(q / n - power(s / n, 2), 0)) else 0 end as sr from h),
+  k as (select mk.m, symbol, coalesce(max(sr) filter (where inside = 1), 0) as a, coalesce(max(sr) filter (where inside = 0), 0) as o from mk cross join (select distinct symbol from b) left join sr using (m, symbol) group by all),
+  champ as (select m, o from k qualify row_number() over (partition by m order by a desc, symbol) = 1), rk as (select champ.m, count(*) filter (where k.o < champ.o) as beaten, count(*) as t from k join champ using (m) group by 1)"""
 
 
-@query("pbo_block_splits", "ST24", f"with {q.BARS}, {PB} select count(*) as splits, {q.rs(6, pbo='avg((ln(w / (1 - w)) <= 0)::int)', mean_logit='avg(ln(w / (1 - w)))')} from rk where k = 1")
+@query("pbo_block_splits", "ST24", f"with {q.BARS}, {PB} select count(*) as splits, {q.rs(6, pbo='avg((beaten / (t - 1) < 0.5)::int)', mean_logit='avg(ln((beaten + 1) / (t - beaten)))')} from rk")
 def pbo_block_splits(spark, sf):
     return rnd(of.pbo_cscv(returns(spark, sf), "symbol", "date", n_blocks=8))
 

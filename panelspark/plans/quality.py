@@ -14,10 +14,10 @@ from panelspark.sources import derive
 ASOF = "2002-01-01"
 
 
-@query("filled_features", "PRJ3", f"""with {q.BARS}, {q.BAD}, x as (select symbol, date, case when volume is null then null else close / volume end as f, case when close > 0 then close end as g from bad where arrival = 1)
+@query("filled_features", "PRJ3", f"""with {q.BARS}, {q.BAD}, x as (select symbol, date, case when volume is null then null else close / volume end as f, case when close > 0 then close end as g from bad qualify row_number() over (partition by symbol, date order by arrival) = 1)
   select symbol, {q.D}, {q.rs(6, f=f'coalesce(last_value(f ignore nulls) over ({q.W} rows between unbounded preceding and current row), 0.0)', g=f'coalesce(last_value(g ignore nulls) over ({q.W} rows between unbounded preceding and current row), 0.0)')} from x""")
 def filled_features(spark, sf):
-    b = derive.bad_bars(derive.bars(spark, sf)).filter("arrival = 1")
+    b = cl.dedupe(derive.bad_bars(derive.bars(spark, sf)), order=("arrival",), keep="first")
     x = b.select("symbol", "date", F.when(F.col("volume").isNotNull(), F.col("close") / F.col("volume")).alias("f"),
                  F.when(F.col("close") > 0, F.col("close")).otherwise(F.lit(float("nan"))).alias("g"))
     return rnd(cl.fill_features(x, ["f", "g"]))
@@ -89,12 +89,11 @@ def quality_filter(spark, sf):
     return rnd(cl.filter_by_quality(b, good, 0.0).select("symbol", "date", "arrival", "close"))
 
 
-@query("pool_coverage", "PRJ13 RM11", f"""with {q.INSTRUMENTS}, {_cls}, have as (select distinct p.p_partkey from lineitem join part p on l_partkey = p.p_partkey where l_shipdate >= timestamp '2001-06-01')
+@query("pool_coverage", "PRJ13 RM11", f"""with {q.INSTRUMENTS}, {_cls}, have as (select distinct p.p_partkey from lineitem join part p on l_partkey = p.p_partkey)
   select asset_class, count(*) as configured, count(h.p_partkey) as present, count(*) - count(h.p_partkey) as missing, {q.r('count(h.p_partkey)::double / count(*)', 6, 'coverage')} from cls left join have h using (p_partkey) group by 1""")
 def pool_coverage(spark, sf):
     u = _classed(spark, sf)
-    li = derive.table(spark, sf, "lineitem").filter(F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp_ntz"))
-    have = li.select(F.col("l_partkey").alias("symbol"))
+    have = derive.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("symbol"))
     return rnd(cl.pool_coverage(u.drop("symbol").withColumnRenamed("p_partkey", "symbol"), have))
 
 
