@@ -130,7 +130,7 @@ def standardised(returns: DataFrame, ret: str = "ret", residual: bool = False, m
     return x.join(m, "symbol").select("symbol", "date", ((F.col("r") - F.col("mean")) / F.col("sd") / F.sqrt("n")).alias("z"))
 
 
-def eigen_spectrum(returns: DataFrame, k: int = 3, ret: str = "ret", residual: bool = False, min_periods: int = 60, tol: float = 1e-8, max_rounds: int = 60) -> DataFrame:
+def eigen_spectrum(returns: DataFrame, k: int = 3, ret: str = "ret", residual: bool = False, min_periods: int = 60, tol: float = 1e-7, max_rounds: int = 60) -> DataFrame:
     """component, eigenvalue, share (of the number of symbols) of the ``k`` leading components of the correlation matrix; a missing date counts as a symbol's mean.
 
     Each round spans the present vectors, their residuals and the last directions, so it gains like conjugate gradients; one product with the panel a
@@ -186,7 +186,7 @@ def eigen_spectrum(returns: DataFrame, k: int = 3, ret: str = "ret", residual: b
             cols |= {"p": mix(t, "u", move), "cp": mix(t, "c", move)}
         new = t.select("symbol", *[F.array(*v).alias(n) for n, v in cols.items()])
         left = F.array(*[F.get("cx", F.lit(i)) - F.get("x", F.lit(i)) * float(ritz[i]) for i in range(now)])
-        new = cut_lineage(new.withColumn("v", left))
+        new = new.withColumn("v", left)
         w = times(new.select("symbol", "v"), now)
         parts = (["x", "v", "p"], ["cx", "w", "cp"]) if width > m else (["x", "v"], ["cx", "w"])
         t = cut_lineage(new.join(w, "symbol").select("symbol", F.concat(*parts[0]).alias("u"), F.concat(*parts[1]).alias("c")))

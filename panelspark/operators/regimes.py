@@ -1,7 +1,6 @@
 """Hidden Markov regimes with expanding refits: every label uses the past only.
 
-The rows of a series are cut in chunks: the first holds the rows of the first fit, the others ``refit_every`` rows each; fit ``r`` is made of chunks
-0 to ``r``.  All fits of all series go through the same rounds of Baum-Welch.  In a round a chunk is one small matrix (the product of its rows'
+The rows of a series are cut in chunks of ``refit_every`` (the first holds what is over of the first fit's rows); fit ``r`` is made of chunks 0 to ``r``.  All fits of all series go through the same rounds of Baum-Welch.  In a round a chunk is one small matrix (the product of its rows'
 transfer matrices), a pass in order of time multiplies these into the filter at the start of each chunk, a pass against it yields what is expected after
 each chunk and sums the statistics, from which the last chunk of the pass makes the new parameters.  A pass is a sorted stream that carries one vector, so no
 series is held in memory and fits are spread over the tasks; ``ROUNDS`` rounds run in one job, then only fits that still gain go on.
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from panelspark.session import cut_lineage, ship
 
-ROUNDS = 5
+ROUNDS = 10
 #: Fixed values of the reference model: least variance added at the start, prior of the variances.
 VAR_FLOOR, VAR_PRIOR = 1e-3, 1e-2
 TINY = 1e-300
@@ -117,18 +116,28 @@ class Model:
 
 
 def chunks(obs: DataFrame, columns: Sequence[str], key: str, order: str, start: int, refit_every: int) -> DataFrame:
-    """key, chunk, dates and x (rows end to end) of the complete rows; a chunk has ``start`` or ``refit_every`` rows."""
+    """key, chunk, at (the places of its rows), x (rows end to end) and full: whether all rows are there."""
+    over = start % refit_every or refit_every
     x = [F.col(c).cast("double") for c in columns]
     good = obs.select(F.col(key).alias("key"), F.col(order).alias("at"), F.array(*x).alias("x")).where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
     row = good.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("at")))
-    chunk = F.when(F.col("k") <= start, 0).otherwise(F.floor((F.col("k") - start - 1) / refit_every) + 1).cast("int")
+    chunk = F.when(F.col("k") <= over, 0).otherwise(F.floor((F.col("k") - over - 1) / refit_every) + 1).cast("int")
     own = row.withColumn("chunk", chunk).groupBy("key", "chunk").agg(F.array_sort(F.collect_list(F.struct("k", "at", "x"))).alias("r"))
-    return own.select("key", "chunk", F.col("r.at").alias("at"), F.flatten("r.x").alias("x"))
+    return own.select("key", "chunk", F.col("r.at").alias("at"), F.flatten("r.x").alias("x"), (F.size("r") == F.when(F.col("chunk") == 0, over).otherwise(refit_every)).alias("full"))
+
+
+def _matrix(c: pa.Array, width: int) -> np.ndarray:
+    """Lists of one length, nulls left out, as rows."""
+    return c.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _lists(a: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * a.shape[1], pa.int32()), pa.array(a.ravel()))
 
 
 def _rows(b: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray]:
     """(chunks, rows, columns) and which of the rows are there."""
-    n = np.array([len(v) for v in b.column("x")]) // d
+    n = b.column("x").value_lengths().to_numpy() // d
     x = np.zeros((len(n), max(n.max(), 1), d))
     here = np.arange(x.shape[1])[None] < n[:, None]
     x[here] = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
@@ -141,8 +150,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[pa.
             yield b.slice(at, most)
 
 
-def fits(chunk: DataFrame, columns: int, states: int, tol: float, max_rounds: int) -> tuple[DataFrame, Model]:
-    """key, fit, p: the parameters of each fit."""
+def fits(chunk: DataFrame, columns: int, states: int, first_fit: int, tol: float, max_rounds: int) -> tuple[DataFrame, Model]:
+    """key, fit, p: the parameters of each fit from number ``first_fit`` on."""
     m, d = Model(states, columns), columns
     width = states + states * states + states + 2 * states * d + 1
     key = chunk.schema["key"].dataType.simpleString()
@@ -156,7 +165,7 @@ def fits(chunk: DataFrame, columns: int, states: int, tol: float, max_rounds: in
 
     total = chunk.select("key", "chunk", "x").mapInArrow(count, f"key {key}, chunk int, " + ", ".join(f"{c} double" for c in names))
     w = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
-    run = total.select("key", F.col("chunk").alias("fit"), F.array(*[F.sum(c).over(w) for c in names]).alias("t"))
+    run = total.select("key", F.col("chunk").alias("fit"), F.array(*[F.sum(c).over(w) for c in names]).alias("t")).where(F.col("fit") >= first_fit)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,8 +175,7 @@ def fits(chunk: DataFrame, columns: int, states: int, tol: float, max_rounds: in
     schema = f"key {key}, fit int, chunk int, x array<double>, p array<double>, v array<double>"
 
     def out(b: pa.RecordBatch, p: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        array = lambda a: pa.array(a.tolist(), pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([b.column("key"), b.column("fit"), b.column("chunk"), b.column("x"), array(p), array(v)], names=["key", "fit", "chunk", "x", "p", "v"])
+        return pa.RecordBatch.from_arrays([b.column("key"), b.column("fit"), b.column("chunk"), b.column("x"), _lists(p), _lists(v)], names=["key", "fit", "chunk", "x", "p", "v"])
 
     def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """In order of time; the row of parameters (chunk -1) comes first.  v: the filter at the start of the chunk."""
@@ -175,13 +183,10 @@ def fits(chunk: DataFrame, columns: int, states: int, tol: float, max_rounds: in
         for b in _pieces(batches):
             ids = list(zip(b.column("key").to_pylist(), b.column("fit").to_pylist(), strict=True))
             number = b.column("chunk").to_pylist()
-            given = b.column("p").to_pylist()
-            all_p = np.zeros((b.num_rows, m.size))
-            now = p
-            for i, (who, c) in enumerate(zip(ids, number, strict=True)):
-                if c < 0:
-                    now = np.array(given[i])
-                all_p[i] = now
+            # each row takes the parameters that stand before it
+            given = _matrix(b.column("p").filter(pa.array([c < 0 for c in number], pa.bool_())), m.size)
+            held = np.concatenate((given[:0] if p is None else p[None], given))
+            all_p = held[np.cumsum([c < 0 for c in number]) - (p is None)]
             x, here = _rows(b, d)
             e, _ = m.emission(all_p, x)
             first = np.array(number) == 0
@@ -194,7 +199,7 @@ def fits(chunk: DataFrame, columns: int, states: int, tol: float, max_rounds: in
                 if number[i] >= 0:
                     carry = carry @ trans[i]
                     carry = carry / max(carry.sum(), TINY)
-            p = now
+            p = all_p[-1]
             yield out(b, all_p, v)
 
     def behind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +208,7 @@ def fits(chunk: DataFrame, columns: int, states: int, tol: float, max_rounds: in
         for b in _pieces(batches):
             ids = list(zip(b.column("key").to_pylist(), b.column("fit").to_pylist(), strict=True))
             number = b.column("chunk").to_pylist()
-            p, into = (np.array(b.column(c).to_pylist()).reshape(b.num_rows, -1) for c in ("p", "v"))
+            p, into = _matrix(b.column("p"), m.size), _matrix(b.column("v"), m.s)
             x, here = _rows(b, d)
             e, _ = m.emission(p, x)
             first = np.array(number) == 0
@@ -256,19 +261,18 @@ def labels(obs: DataFrame, columns: Sequence[str] = ("log_ret", "vol"), key: str
     d = len(columns)
     ship(obs.sparkSession)
     chunk = cut_lineage(chunks(obs, columns, key, order, start, refit_every))
-    whole = chunk.where((F.col("chunk") > 0) | (F.size("x") == start * d)).withColumn("full", F.size("x") == F.when(F.col("chunk") == 0, start * d).otherwise(refit_every * d))
-    model, m = fits(whole.where("full").select("key", "chunk", "at", "x"), d, states, tol, max_rounds)
+    model, m = fits(chunk.where("full").select("key", "chunk", "x"), d, states, -(-start // refit_every) - 1, tol, max_rounds)
     p = model.select(F.col("key").alias("_k"), "fit", "p")
     kind, time = chunk.schema["key"].dataType.simpleString(), chunk.schema["at"].dataType.elementType.simpleString()
     # a fit filters its own chunks and the one after it
-    rows = whole.join(p, F.col("key").eqNullSafe(F.col("_k")) & (F.col("chunk") <= F.col("fit") + 1)).select("key", "fit", "chunk", "at", "x", "p")
+    rows = chunk.join(p, F.col("key").eqNullSafe(F.col("_k")) & (F.col("chunk") <= F.col("fit") + 1)).select("key", "fit", "chunk", "at", "x", "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, carry = None, None
         for b in _pieces(batches):
             ids = list(zip(b.column("key").to_pylist(), b.column("fit").to_pylist(), strict=True))
             number, dates = np.array(b.column("chunk").to_pylist()), b.column("at").to_pylist()
-            par = np.array(b.column("p").to_pylist())
+            par = _matrix(b.column("p"), m.size)
             x, here = _rows(b, d)
             e, _ = m.emission(par, x)
             first = number == 0
