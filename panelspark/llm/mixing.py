@@ -81,13 +81,15 @@ def schedule(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame
 
     Documents: doc_id, source, size, ``_text``, ``_off``, source_size, target; (source, ``_off``) tells those with words apart.
     """
-    sized, _ = Kept(docs.sparkSession, "mix").write(sizes(docs))
-    goal = targets(sized)
+    kept = Kept(docs.sparkSession, "mix")
+    sized, _ = kept.write(sizes(docs))
+    # what several branches read is written once
+    goal, _ = kept.write(targets(sized))
     total = sized.agg(F.sum("size")).first()[0] or 0
-    slot = slots(goal, max(1, int(SHARE * total) // block_words))
+    slot, _ = kept.write(slots(goal, max(1, int(SHARE * total) // block_words)))
     count = slot.groupBy("source").agg(F.count("*").alias("_n")).withColumnRenamed("source", "_b")
     g = goal.select(F.col("source").alias("_g"), "source_size", "target", F.floor("target").alias("_take"))
-    on = laid_out(sized).join(g, F.col("source").eqNullSafe(F.col("_g"))).drop("_g")
+    on, _ = kept.write(laid_out(sized).join(g, F.col("source").eqNullSafe(F.col("_g"))).drop("_g"))
     copy = on.where("size > 0 and _take > 0").join(count, F.col("source").eqNullSafe(F.col("_b"))).drop("_b").withColumn("_n", F.least("_n", "_take")).withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1))))
     copy = copy.withColumn("_a", F.col("_off") + F.col("pass") * F.col("source_size")).withColumn("_z", F.least(F.col("_a") + F.col("size"), F.col("_take"))).where("_a < _z")
     # blocks differ by a word at most: the first _r of them have _q + 1 words, the others _q

@@ -23,12 +23,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import Kept, arrow_pass, texts
+from panelspark.llm.common import Kept, arrow_pass, ship, texts
 from panelspark.llm.components import components
 
 BITS, SEED, CHUNK = 64, 42, 1 << 16
 #: Minima a band, bands: of pairs of similarity 0.8, (1 - 0.8 ** 6) ** 24 = 0.07 % share no band, of 0.85 0.0012 %.
 DEEP, BANDS = 6, 24
+#: Texts of a side of a tile of comparisons, and shingles that make it fewer.
+TILE, SHINGLES = 1024, 1 << 21
 #: What tells the orders of the minima apart.
 SALT, ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, DEEP * BANDS, 1), np.uint64)
 ODD |= np.uint64(1)
@@ -135,49 +137,113 @@ def bands(h: np.ndarray) -> list[int]:
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> float:
-    """Jaccard similarity of two ascending sets."""
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    """Jaccard similarity of two ascending sets, none of them empty."""
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
     return both / (len(x) + len(y) - both)
 
 
-def verified(pairs: DataFrame, text: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs ``a, b`` whose texts (``doc_id, text``) have that similarity of their sets of shingles."""
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The distinct pairs ``a, b`` whose sets (``node, h``) have that similarity."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        good, last, held = [], None, None
-        for x, key, y in zip(b.column("ta").to_pylist(), b.column("b").to_pylist(), b.column("tb").to_pylist(), strict=True):
-            if key != last:
-                last, held = key, shingles(y, width)
-            good.append(alike(shingles(x, width), held) >= similarity)
+        (x, p), (y, q) = ((b.column(c).flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(b.column(c).value_lengths().to_numpy())))) for c in ("ha", "hb"))
+        good = [alike(x[p[i] : p[i + 1]], y[q[i] : q[i + 1]]) >= similarity for i in range(b.num_rows)]
         return b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left, right = text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return arrow_pass(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), run, "a long, b long")
+    left, right = sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), sets.select(F.col("node").alias("b"), F.col("h").alias("hb"))
+    return arrow_pass(pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "ha", "hb"), run, "a string, b string")
 
 
-def alike_components(own: DataFrame, text: DataFrame, width: int, similarity: float) -> DataFrame:
-    """node, root of the texts linked by pairs of that similarity.  ``own``: distinct ``node``, n (number of shingles), bands; ``text``: the same nodes as ``doc_id, text``.
+def tiles(mixed: DataFrame) -> DataFrame:
+    """key, f, j, node, root, side: the comparisons that a bucket needs, cut so that a tile holds ``TILE`` texts a side, or so many that ``SHINGLES`` shingles are there.
 
-    A text is compared with one least member of its buckets; then each bucket compares the texts outside its largest component with those of others.
+    Texts outside the bucket's largest component (side 0) meet every text of the bucket (side 1).
+    """
+    key = Window.partitionBy("key")
+    blocks = lambda n, size: F.ceil(F.greatest(n / TILE, size / SHINGLES)).cast("int")
+    few = F.col("root") != F.col("main")
+    number = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+    m = mixed.select("key", "node", "root", few.alias("few"), blocks(F.count("*").over(key), F.sum("n").over(key)).alias("mb"), blocks(F.count_if(few).over(key), F.sum(F.when(few, F.col("n")).otherwise(0)).over(key)).alias("fb"))
+    own = m.where("few").select("key", number(0, F.col("fb")).alias("f"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"), "node", "root", F.lit(0).alias("side"))
+    met = m.select("key", F.explode(F.sequence(F.lit(0), F.col("fb") - 1)).alias("f"), number(1, F.col("mb")).alias("j"), "node", "root", F.lit(1).alias("side"))
+    return own.unionByName(met)
+
+
+def compare(few: list[tuple[str, str, np.ndarray]], others: list[tuple[str, str, np.ndarray]], similarity: float) -> list[tuple[str, str]]:
+    """Links of that similarity between (node, root, shingles) of different components; of links that join the same components one is enough."""
+    if not few or not others:
+        return []
+    size = np.array([len(h) for _, _, h in others])
+    begin = np.concatenate(([0], size.cumsum()[:-1]))
+    known, at = np.unique(np.concatenate([h for _, _, h in others]), return_inverse=True)
+    up: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    out = []
+    here = np.zeros(len(known), bool)
+    for node, root, h in few:
+        p = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        p = p[known[p] == h]
+        here[p] = True
+        both = np.add.reduceat(here[at], begin, dtype=np.int64)
+        here[p] = False
+        for i in np.flatnonzero(both >= similarity * (len(h) + size - both) - 1e-9).tolist():
+            a, b = top(root), top(others[i][1])
+            if a != b and both[i] / (len(h) + size[i] - both[i]) >= similarity:
+                up[a] = b
+                out.append((node, others[i][0]))
+    return out
+
+
+def tile_links(tile: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b between the texts of each tile; a tile is held while it is compared, nothing else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sides = None, ([], [])
+        for b in batches:
+            found: list[tuple[str, str]] = []
+            value, end = b.column("h").flatten().to_numpy(), np.concatenate(([0], np.cumsum(b.column("h").value_lengths().to_numpy())))
+            names = zip(*(b.column(c).to_pylist() for c in ("key", "f", "j")), strict=True)
+            for i, (who, node, root, side) in enumerate(zip(names, *(b.column(c).to_pylist() for c in ("node", "root", "side")), strict=True)):
+                if who != last:
+                    found += compare(*sides, similarity)
+                    last, sides = who, ([], [])
+                sides[side].append((node, root, value[end[i] : end[i + 1]].copy()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["a", "b"])
+        if found := compare(*sides, similarity):
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["a", "b"])
+
+    ship(tile.sparkSession)
+    rows = tile.join(sets, "node").select("key", "f", "j", "node", "root", "side", "h")
+    return rows.repartition("key", "f", "j").sortWithinPartitions("key", "f", "j", "side").mapInArrow(run, "a string, b string")
+
+
+def alike_components(own: DataFrame, sets: DataFrame, similarity: float, kept: Kept) -> DataFrame:
+    """node, root of the texts linked by pairs of that similarity.  ``own``: distinct ``node``, n (number of shingles), bands; ``sets``: the same nodes with ``h``, their shingles.
+
+    A text is compared with one least member of its buckets; then each bucket compares the texts outside its largest component with those of others, tile by
+    tile, and only links that join components come out.
     """
-    kept = Kept(own.sparkSession, "alike")
     key = Window.partitionBy("key")
-    fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity - 1e-6  # noqa: E731  # sets of such sizes can be as similar
     spread = own.select("node", "n", F.explode("bands").alias("key"))
     bucket, path = kept.write(spread.select("key", "node", "n", F.min("node").over(key).alias("head"), F.max("node").over(key).alias("last")).where("head <> last").drop("last"))
-    # only the texts that meet another are read again
-    some, _ = kept.write(text.join(bucket.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    first, _ = kept.write(verified(bucket.where("node <> head").groupBy(F.col("node").alias("a")).agg(F.min("head").alias("b")), some, width, similarity))
+    # only the sets of texts that meet another are read again
+    some, some_path = kept.write(sets.join(bucket.select("node").distinct(), "node", "left_semi"))
+    first, _ = kept.write(verified(bucket.where("node <> head").groupBy(F.col("node").alias("a")).agg(F.min("head").alias("b")), some, similarity))
     label = components(first)
     of = bucket.select("key", "node", "n").join(label, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     counted = of.withColumn("size", F.count("*").over(Window.partitionBy("key", "root")))
-    mixed = counted.select("key", "node", "n", "root", F.max(F.struct("size", "root")).over(key)["root"].alias("main"), F.min("root").over(key).alias("lo"), F.max("root").over(key).alias("hi")).where("lo <> hi").drop("lo", "hi")
-    mixed, _ = kept.write(mixed)
-    kept.drop(path)
-    few = mixed.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    pairs = few.join(mixed.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), "main"), "key")
-    pairs = pairs.where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & fits(F.col("na"), F.col("nb")))
-    second, _ = kept.write(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), some, width, similarity))
+    several = counted.select("key", "node", "n", "root", F.max(F.struct("size", "root")).over(key)["root"].alias("main"), F.min("root").over(key).alias("lo"), F.max("root").over(key).alias("hi")).where("lo <> hi").drop("lo", "hi")
+    mixed, mixed_path = kept.write(several)
+    second, _ = kept.write(tile_links(tiles(mixed), some, similarity))
+    for p in (path, some_path, mixed_path):
+        kept.drop(p)
     return components(first.unionByName(second)) if second.limit(1).count() else label
 
 
@@ -186,21 +252,24 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
 
     Texts that share one of ``BANDS`` bands of minima of their sets of ``width``-word shingles are compared by these sets themselves, and linked from a
     similarity (Jaccard) of ``similarity`` on.  Texts without words are copies of one another.  Rows of one id and
-    different texts are documents of their own; rows without id are left alone.
+    different texts are documents of their own, equal rows of one id are one; rows without id are left alone.  Columns must have an order (no maps).
     """
     kept = Kept(docs.sparkSession, "near")
     rows = docs.where("doc_id is not null")
-    each = texts(rows).select(F.xxhash64("text").alias("node"), F.col("doc_id").alias("id"), "text").groupBy("node").agg(F.min("id").alias("least"), F.first("text").alias("text"))
+    each = texts(rows).select(F.md5(F.col("text").cast("binary")).alias("node"), F.col("doc_id").alias("id"), "text").groupBy("node").agg(F.min("id").alias("least"), F.min("text").alias("text"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, width) for t in b.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([b.column("node"), b.column("least"), pa.array(list(map(len, sets)), pa.int32()), pa.array([bands(h) for h in sets], pa.list_(pa.int64()))], names=["node", "least", "n", "bands"])
+        held = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(h) for h in sets]))), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+        return pa.RecordBatch.from_arrays([b.column("node"), b.column("least"), pa.array(list(map(len, sets)), pa.int32()), pa.array([bands(h) for h in sets], pa.list_(pa.int64())), held], names=["node", "least", "n", "bands", "h"])
 
-    own, _ = kept.write(arrow_pass(each, run, "node long, least long, n int, bands array<long>"))
-    label = alike_components(own, texts(each, "node"), width, similarity)
+    own, own_path = kept.write(arrow_pass(each, run, "node string, least long, n int, bands array<long>, h array<long>"))
+    label = alike_components(own.select("node", "n", "bands"), own.select("node", "h"), similarity, kept)
     rooted = own.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    stays = rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("s")).select(F.col("s.least").alias("__id"), F.col("s.node").alias("__node"))
-    # repeated rows collapse before they are dealt out
-    one = rows.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__node"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    one = one.groupBy("__id", "__node").agg(F.first("__row").alias("__row")).join(stays, ["__id", "__node"], "left_semi")
+    stays, _ = kept.write(rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("s")).select(F.col("s.least").alias("__id"), F.col("s.node").alias("__node")))
+    kept.drop(own_path)
+    # repeated rows collapse before they are dealt out; of rows that differ in another column the least stays
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    one = rows.select(F.col("doc_id").cast("long").alias("__id"), F.md5(text.cast("binary")).alias("__node"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    one = one.join(stays, ["__id", "__node"], "left_semi").groupBy("__id", "__node").agg(F.min("__row").alias("__row"))
     return one.select("__row.*").unionByName(docs.where("doc_id is null"))
