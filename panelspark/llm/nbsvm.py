@@ -168,22 +168,27 @@ def held_out(id_col: str = "doc_id") -> Column:
     return (F.crc32(F.col(id_col).cast("string")) % 5) == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fits on the rows that are not held out.  The chosen ids (at most ``max_rows``) are broadcast; one task reads their n-grams and fits, the driver gets the model alone."""
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """doc_id, label, grams of the rows of the fit; their ids (at most ``max_rows``, not held out) are broadcast."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("q")).where("doc_id is not null and q in (0, 1)")
     chosen = marked.where(~held_out()).groupBy("doc_id").agg((F.avg("q") >= 0.5).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([pack(grams(t)) for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "label", "grams"])
 
+    return arrow_pass(texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"), run, "doc_id long, label int, grams binary")
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    """Fits on the rows of ``sample``: one task reads their n-grams and fits, the driver gets the model alone."""
+
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b.column("grams"), b.column("label").to_numpy()) for b in batches]
         label = np.concatenate([y for _, y in held]).astype(np.int64) if held else np.zeros(0, np.int64)
         m = fit(Packed([g for c, _ in held for g in c]), label)
         yield pa.RecordBatch.from_pylist([{"weights": m.weights.tobytes(), "ratio": m.ratio.tobytes(), "bias": float(m.bias), "slope": float(m.slope), "shift": float(m.shift)}])
 
-    some = arrow_pass(texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"), run, "doc_id long, label int, grams binary")
-    got = some.repartition(1).sortWithinPartitions("doc_id", F.octet_length("grams"), "grams").mapInArrow(solve, "weights binary, ratio binary, bias double, slope double, shift double").first()
+    got = sample(docs, labels, max_rows).repartition(1).sortWithinPartitions("doc_id", F.octet_length("grams"), "grams").mapInArrow(solve, "weights binary, ratio binary, bias double, slope double, shift double").first()
     if got is None:
         return fit([], np.zeros(0, np.int64))
     return Model(np.frombuffer(got["weights"], np.float32), np.frombuffer(got["ratio"], np.float32), got["bias"], got["slope"], got["shift"])
