@@ -8,64 +8,136 @@ A pair inside a unary path (one edge comes in, one goes out, each carries all of
 compacted by pointer doubling: an edge of a path finds its first edge in as many rounds as the length has bits.  A path has one weight, which is the count of
 each of its inner pairs; they are no collocations of their own.
 
-Counting is one aggregation of grams with partial sums before the shuffle, so a word, line or passage that a third of all texts hold is one row a task.  Only
-grams of the least frequency stay for the graph.  Texts are cut at ``[.,;:!?\\x0A-\\x0D]`` and at blanks and tabs; A-Z are lower-cased.  A null text is empty, a
+Grams are summed in each task before the one shuffle, so a word, line or passage that a third of all texts hold is a row for every half million distinct grams,
+and travel as lists of what follows a pair.  Only grams of the least frequency stay for the graph.  Texts are cut at ``[.,;:!?\\x0A-\\x0D]`` and at blanks and tabs; A-Z are lower-cased.  A null text is empty, a
 null language is ``und``; doc_id is not read; repeated rows count as often as they stand there; an empty table has no phrases; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import Kept
+from panelspark.llm.common import Kept, ship
 
 LEAST, FIRST, SHARE, SCALE = 10, 2000, 50, 1_000_000
-CUT, BLANK = "[.,;:!?\\x0A-\\x0D]", "[\\x20\\x09]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: All of these are single bytes in UTF-8: cuts become line feeds, tabs blanks.
+TABLE = bytes.maketrans(f"{UPPER}\t.,;:!?\x0b\x0c\r".encode(), f"{LOWER} {9 * chr(10)}".encode())
+#: Bytes of a piece that are split at a time, distinct grams and words that a task holds, texts that it takes from a batch at a time.
+PIECE, HELD, WORDS, TEXTS = 1 << 20, 500_000, 200_000, 500
 #: Parts of a language that are ranked on their own before they meet.
 PARTS = 64
 
 
-def grams(docs: DataFrame) -> DataFrame:
-    """lang, w1, w2, w3, n: how often each gram starts; w2 and w3 are null where the piece ends."""
-    lower = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
-    piece = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(lower, CUT)).alias("piece"))
-    words = piece.select("lang", F.filter(F.split("piece", BLANK), lambda w: w != "").alias("w")).where(F.size("w") > 0)
-    after = lambda k: F.slice("w", F.lit(1 + k), F.size("w"))
-    each = words.select("lang", F.inline(F.arrays_zip(F.col("w").alias("w1"), after(1).alias("w2"), after(2).alias("w3"))))
-    return each.toDF("lang", "w1", "w2", "w3").groupBy("lang", "w1", "w2", "w3").agg(F.count("*").alias("n"))
+def word_runs(text: str) -> Iterator[tuple[list[bytes], bool]]:
+    """The words of each piece; a piece beyond ``PIECE`` bytes comes in parts, of which all but the last are to be taken up to their last two words, which begin the next part."""
+    for piece in text.encode("utf-8", "replace").translate(TABLE).split(b"\n"):
+        at, held = 0, []
+        while len(piece) - at > PIECE and (cut := piece.find(b" ", at + PIECE)) > 0:
+            words = held + piece[at:cut].split()
+            yield words, False
+            at, held = cut, words[-2:]
+        yield (held + piece[at:].split() if at else piece.split()), True
+
+
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, head, tails, n: the grams of a task, summed over up to ``HELD`` distinct ones.
+
+    A pair comes with all words that follow it, and how often if more than once (``york city<tab>3``); an empty word is the end of a piece.  A word comes with the
+    flow out of it (n) and no tails, and so does a language (head empty).
+    """
+    seen: dict[str, Counter] = {}
+    flow: dict[str, Counter] = {}
+
+    def batch(lang: str, rows: list[tuple[bytes, bytes | None, int | None]]) -> pa.RecordBatch:
+        head, tails, n = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), *(pa.array(x, pa.binary()).cast(pa.string()) for x in (head, tails)), pa.array(n, pa.int64())], names=["lang", "head", "tails", "n"])
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, c in seen.items():
+            words = flow.setdefault(lang, Counter())
+            node: dict[bytes, list] = {}  # the flow out of a head, then what follows it
+            for gram, n in c.items():
+                head, _, tail = gram.rpartition(b" ")
+                token = tail if n == 1 and tail else b"%b\t%d" % (tail, n)
+                if (known := node.get(head)) is None:
+                    node[head] = [n, token]
+                else:
+                    known[0] += n
+                    known.append(token)
+            c.clear()
+            rows = []
+            for head, known in node.items():
+                first, pair, _ = head.partition(b" ")
+                words[first] += known[0]
+                if pair:
+                    rows.append((head, b" ".join(known[1:]), None))
+                if len(rows) >= 1 << 15:
+                    yield batch(lang, rows)
+                    rows = []
+            if rows:
+                yield batch(lang, rows)
+        seen.clear()
+
+    def flows() -> Iterator[pa.RecordBatch]:
+        for lang, words in flow.items():
+            rows = [(b"", None, sum(words.values())), *((w, None, n) for w, n in words.items())]
+            for at in range(0, len(rows), 1 << 16):
+                yield batch(lang, rows[at : at + (1 << 16)])
+        flow.clear()
+
+    for b in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
+        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+            c = seen.setdefault(lang, Counter())
+            for w, end in word_runs(text):
+                c.update(map(b" ".join, zip(w, w[1:], w[2:], strict=False)))
+                if end and w:
+                    if len(w) > 1:
+                        c[w[-2] + b" " + w[-1] + b" "] += 1
+                    c[w[-1] + b" "] += 1
+                if len(c) > HELD:
+                    yield from out()
+                    c = seen.setdefault(lang, Counter())
+        if sum(map(len, seen.values())) > HELD:
+            yield from out()
+        if sum(map(len, flow.values())) > WORDS:
+            yield from flows()
+    yield from out()
+    yield from flows()
 
 
 def counts(docs: DataFrame, kept: Kept, least: int = LEAST) -> DataFrame:
-    """level (3: edge, 2: node, 1: word, 0: language), lang, w1, w2, w3, n; of edges, nodes and words those of the least frequency.
+    """lang, head, n, edges: pairs, words (no blank in ``head``) and languages (empty ``head``) with their counts, pairs and words of the least frequency only.
 
-    One job: the grams are shuffled once and each shorter count is the flow out of what it starts, piece ends included.
+    ``edges`` of a pair: the words (and counts) of the edges of the least frequency out of it; n is the flow out of it, rarer edges and piece ends included.
+    Grams are laid out by their head, so edges and nodes are counted after one shuffle.
     """
-    edge = grams(docs)
-    node = edge.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n"))
-    word = node.groupBy("lang", "w1").agg(F.sum("n").alias("n"))
-    lang = word.groupBy("lang").agg(F.sum("n").alias("n"))
-    none = F.lit(None).cast("string")
-    cols = lambda level, d, *w: d.select(F.lit(level).alias("level"), "lang", *[F.col(c) if c in w else none.alias(c) for c in ("w1", "w2", "w3")], "n")
-    often = F.col("n") >= least
-    parts = [cols(3, edge.where(often), "w1", "w2", "w3"), cols(2, node.where(often), "w1", "w2"), cols(1, word.where(often), "w1"), cols(0, lang)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return kept.write(out)[0]
+    ship(docs.sparkSession)
+    own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    row = own.mapInArrow(count_grams, "lang string, head string, tails string, n long").repartition("lang", "head")
+    each = row.select("lang", "head", "n", F.explode_outer(F.split("tails", " ")).alias("t"))
+    part = F.split("t", "\t")
+    each = each.select("lang", "head", F.get(part, F.lit(0)).alias("tail"), F.coalesce("n", F.get(part, F.lit(1)).cast("long"), F.lit(1).cast("long")).alias("n"))
+    edge = each.groupBy("lang", "head", "tail").agg(F.sum("n").alias("n"))
+    often = F.when((F.col("n") >= least) & (F.col("tail") != ""), F.struct("tail", "n"))
+    node = edge.groupBy("lang", "head").agg(F.sum("n").alias("n"), F.collect_list(often).alias("edges"))
+    return kept.write(node.where((F.col("n") >= least) | (F.col("head") == "")))[0]
 
 
 def graph(count: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges: lang, a and b (its two nodes), w1, w2, w3, n; nodes: lang, a, w1, w2, n and ``most``, the greatest weight of an edge at it, ``inner``)."""
-    pair = lambda x, y: F.concat(F.col(x), F.lit(" "), F.col(y))
-    edge = count.where("level = 3 and w3 is not null").select("lang", pair("w1", "w2").alias("a"), pair("w2", "w3").alias("b"), "w1", "w2", "w3", "n")
-    node = count.where("level = 2 and w2 is not null").select("lang", pair("w1", "w2").alias("a"), "w1", "w2", "n")
-    out = edge.groupBy("lang", "a").agg(F.max("n").alias("out"))
+    w = F.split("a", " ")
+    node = count.where(F.col("head").contains(" ")).select("lang", F.col("head").alias("a"), "n", "edges").withColumns({"w1": F.get(w, F.lit(0)), "w2": F.get(w, F.lit(1))})
+    edge = node.select("lang", "a", "w1", "w2", F.explode("edges").alias("e")).select("lang", "a", F.concat("w2", F.lit(" "), "e.tail").alias("b"), "w1", "w2", F.col("e.tail").alias("w3"), "e.n")
+    out = F.coalesce(F.array_max(F.transform("edges", lambda e: e["n"])), F.lit(0).cast("long"))
     into = edge.groupBy("lang", F.col("b").alias("a")).agg(F.max("n").alias("into"))
-    zero = F.lit(0).cast("long")
-    node = node.join(out, ["lang", "a"], "left").join(into, ["lang", "a"], "left")
-    return edge, node.select("lang", "a", "w1", "w2", "n", F.greatest(F.coalesce("out", zero), F.coalesce("into", zero)).alias("most"), (F.coalesce("out", zero) == F.col("n")).alias("_o"), (F.coalesce("into", zero) == F.col("n")).alias("_i")).select("lang", "a", "w1", "w2", "n", "most", (F.col("_o") & F.col("_i")).alias("inner"))
+    node = node.withColumn("out", out).join(into, ["lang", "a"], "left").withColumn("into", F.coalesce("into", F.lit(0).cast("long")))
+    return edge, node.select("lang", "a", "w1", "w2", "n", F.greatest("out", "into").alias("most"), ((F.col("out") == F.col("n")) & (F.col("into") == F.col("n"))).alias("inner"))
 
 
 def compact(edge: DataFrame, node: DataFrame, kept: Kept) -> DataFrame:
@@ -110,7 +182,7 @@ def phrases(docs: DataFrame, least: int = LEAST, share: int = SHARE) -> DataFram
     edge, node = graph(count)
     node, _ = kept.write(node)
     edge, _ = kept.write(compact(edge, node, kept))
-    word = count.where("level = 1").select("lang", "w1", "n")
+    word = count.where((F.col("head") != "") & ~F.col("head").contains(" ")).select("lang", F.col("head").alias("w1"), "n")
     first = word.select("lang", "w1", F.col("n").alias("f1"))
     last = lambda w: word.select("lang", F.col("w1").alias(w), F.col("n").alias("fz"))
     # the pairs inside a path have its weight; the others are looked up
@@ -125,7 +197,7 @@ def phrases(docs: DataFrame, least: int = LEAST, share: int = SHARE) -> DataFram
     three = three.select("lang", "phrase", "a", pick("f1", "fa").alias("l"), pick("fb", "fz").alias("r"), F.least("s1", "s2").alias("score"), "path_words")
     own = outer.where(F.col("most") * 100 < F.col("n") * share).join(first, ["lang", "w1"]).join(last("w2"), ["lang", "w2"])
     two = own.select("lang", F.col("a").alias("phrase"), F.col("n").alias("a"), F.col("f1").alias("l"), F.col("fz").alias("r")).select("*", score("a", "l", "r").alias("score"), F.lit(None).cast("long").alias("path_words"))
-    total = count.where("level = 0").select("lang", F.col("n"))
+    total = count.where("head = ''").select("lang", "n")
     return three.unionByName(two).join(total, "lang").select("lang", "phrase", "a", "l", "r", "n", "score", "path_words")
 
 
