@@ -18,7 +18,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,50 +47,58 @@ def word_runs(text: str) -> Iterator[tuple[list[bytes], bool]]:
         yield (held + piece[at:].split() if at else piece.split()), True
 
 
+def before_and_after(of: pa.Array, reverse: bool = False) -> tuple[pa.Array, pa.Array]:
+    """What stands before and after the first blank, or the last one; of a string without a blank the first part is the string."""
+    parts = pc.split_pattern(of, b" ", max_splits=1, reverse=reverse)
+    at, values = parts.offsets.to_numpy(), parts.values
+    return values.take(pa.array(at[:-1])), values.take(pa.array(np.minimum(at[:-1] + 1, at[1:] - 1)))
+
+
+def runs_of(of: pa.Array, n: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Equal neighbours as one: the strings, the sums of ``n`` and where each begins."""
+    at = np.flatnonzero(np.append(True, pc.not_equal(of[1:], of[:-1]).to_numpy(zero_copy_only=False)))
+    return of.take(pa.array(at)), np.add.reduceat(n, at), at
+
+
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, head, tails, n: the grams of a task, summed over up to ``HELD`` distinct ones.
 
-    A pair comes with all words that follow it, and how often if more than once (``york city<tab>3``); an empty word is the end of a piece.  A word comes with the
-    flow out of it (n) and no tails, and so does a language (head empty).
+    A pair comes with the flow out of it (n) and all words that follow it, and how often if more than once (``york city<tab>3``); an empty word is the end of a
+    piece.  A word comes with the flow out of it and no tails, and so does a language (head empty).
     """
     seen: dict[str, Counter] = {}
     flow: dict[str, Counter] = {}
 
-    def batch(lang: str, rows: list[tuple[bytes, bytes | None, int | None]]) -> pa.RecordBatch:
-        head, tails, n = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), *(pa.array(x, pa.binary()).cast(pa.string()) for x in (head, tails)), pa.array(n, pa.int64())], names=["lang", "head", "tails", "n"])
+    def batches_of(lang: str, head: pa.Array, tails: pa.Array, n: pa.Array, size: int) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(head), size):
+            cols = [x.slice(at, size) for x in (head, tails, n)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cols[0])), *(x.cast(pa.large_string()).cast(pa.string()) for x in cols[:2]), cols[2]], names=["lang", "head", "tails", "n"])
 
     def out() -> Iterator[pa.RecordBatch]:
         for lang, c in seen.items():
-            words = flow.setdefault(lang, Counter())
-            node: dict[bytes, list] = {}  # the flow out of a head, then what follows it
-            for gram, n in c.items():
-                head, _, tail = gram.rpartition(b" ")
-                token = tail if n == 1 and tail else b"%b\t%d" % (tail, n)
-                if (known := node.get(head)) is None:
-                    node[head] = [n, token]
-                else:
-                    known[0] += n
-                    known.append(token)
+            if not c:
+                continue
+            gram, n = pa.array(list(c), pa.large_binary()), np.fromiter(c.values(), np.int64, len(c))
             c.clear()
-            rows = []
-            for head, known in node.items():
-                first, pair, _ = head.partition(b" ")
-                words[first] += known[0]
-                if pair:
-                    rows.append((head, b" ".join(known[1:]), None))
-                if len(rows) >= 1 << 15:
-                    yield batch(lang, rows)
-                    rows = []
-            if rows:
-                yield batch(lang, rows)
+            order = pc.sort_indices(gram)  # what follows a pair comes together, and so does what follows a word
+            gram, n = gram.take(order), n[order.to_numpy()]
+            head, tail = before_and_after(gram, reverse=True)
+            many = pc.binary_join_element_wise(tail, pa.array(n).cast(pa.large_string()).cast(pa.large_binary()), pa.scalar(b"\t", pa.large_binary()))
+            token = pc.if_else(pc.and_(pa.array(n == 1), pc.not_equal(tail, b"")), tail, many)
+            head, n, at = runs_of(head, n)
+            tails = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.append(at, len(order))), token), pa.scalar(b" ", pa.large_binary()))
+            pair = pc.match_substring(head, b" ")
+            first, sums, _ = runs_of(pc.if_else(pair, before_and_after(head)[0], head), n)
+            words = flow.setdefault(lang, Counter())
+            for w, k in zip(first.to_pylist(), sums.tolist(), strict=True):
+                words[w] += k
+            yield from batches_of(lang, head.filter(pair), tails.filter(pair), pa.array(n).filter(pair), 1 << 15)
         seen.clear()
 
     def flows() -> Iterator[pa.RecordBatch]:
         for lang, words in flow.items():
-            rows = [(b"", None, sum(words.values())), *((w, None, n) for w, n in words.items())]
-            for at in range(0, len(rows), 1 << 16):
-                yield batch(lang, rows[at : at + (1 << 16)])
+            head = pa.array([b"", *words], pa.large_binary())
+            yield from batches_of(lang, head, pa.nulls(len(head), pa.large_binary()), pa.array([sum(words.values()), *words.values()], pa.int64()), 1 << 16)
         flow.clear()
 
     for b in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
@@ -115,14 +125,17 @@ def counts(docs: DataFrame, kept: Kept, least: int = LEAST) -> DataFrame:
     """lang, head, n, edges: pairs, words (no blank in ``head``) and languages (empty ``head``) with their counts, pairs and words of the least frequency only.
 
     ``edges`` of a pair: the words (and counts) of the edges of the least frequency out of it; n is the flow out of it, rarer edges and piece ends included.
-    Grams are laid out by their head, so edges and nodes are counted after one shuffle.
+    Grams are laid out by their head, so edges and nodes are counted after one shuffle; what follows a rare pair, and most pairs are, is never unfolded.
     """
     ship(docs.sparkSession)
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     row = own.mapInArrow(count_grams, "lang string, head string, tails string, n long").repartition("lang", "head")
+    by = Window.partitionBy(F.xxhash64("head", "lang"), "head", "lang")  # the number in front is what the sort mostly compares
+    row = row.withColumn("all", F.sum("n").over(by)).where((F.col("all") >= least) | (F.col("head") == ""))
     each = row.select("lang", "head", "n", F.explode_outer(F.split("tails", " ")).alias("t"))
     part = F.split("t", "\t")
-    each = each.select("lang", "head", F.get(part, F.lit(0)).alias("tail"), F.coalesce("n", F.get(part, F.lit(1)).cast("long"), F.lit(1).cast("long")).alias("n"))
+    n = F.when(F.col("t").isNull(), F.col("n")).otherwise(F.coalesce(F.get(part, F.lit(1)).cast("long"), F.lit(1).cast("long")))
+    each = each.select("lang", "head", F.get(part, F.lit(0)).alias("tail"), n.alias("n"))
     edge = each.groupBy("lang", "head", "tail").agg(F.sum("n").alias("n"))
     often = F.when((F.col("n") >= least) & (F.col("tail") != ""), F.struct("tail", "n"))
     node = edge.groupBy("lang", "head").agg(F.sum("n").alias("n"), F.collect_list(often).alias("edges"))
