@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,13 +98,13 @@ class Tape:
     """A rewritten text with the source range of each of its characters and whether it was rewritten."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.stop, self.new = text, list(range(len(text))), list(range(1, len(text) + 1)), bytearray(len(text))
+        self.text, self.start, self.stop, self.new = text, array("i", range(len(text))), array("i", range(1, len(text) + 1)), bytearray(len(text))
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replaces the ranges (ascending, apart) by the strings; every new character stands for the whole range."""
         if not edits:
             return
-        text, start, stop, new, at = [], [], [], bytearray(), 0
+        text, start, stop, new, at = [], array("i"), array("i"), bytearray(), 0
         for a, b, put in [*edits, (len(self.text), len(self.text), "")]:
             text.append(self.text[at:a])
             start += self.start[at:a]
@@ -111,8 +112,8 @@ class Tape:
             new += self.new[at:a]
             if put and b > a:
                 text.append(put)
-                start += [self.start[a]] * len(put)
-                stop += [self.stop[b - 1]] * len(put)
+                start += self.start[a : a + 1] * len(put)
+                stop += self.stop[b - 1 : b] * len(put)
                 new += b"\1" * len(put)
             at = b
         self.text, self.start, self.stop, self.new = "".join(text), start, stop, new
@@ -161,13 +162,16 @@ def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
     if not any(tape.new):
         return []
     taken = {k: sorted((a, b) for kind, a, b in base if kind == k) for k in KINDS}
+    near, end = dict.fromkeys(KINDS, 0), dict.fromkeys(KINDS, 0)  # the first plain finding that does not end before, the end of the last one added
     out = []
-    for kind, a, b in detect(tape.text):
+    for kind, a, b in detect(tape.text):  # ascending within a kind, as their source ranges are
         if any(tape.new[a:b]):
-            x, y = min(tape.start[a:b]), max(tape.stop[a:b])
-            if not any(p < y and x < q for p, q in taken[kind]):
+            x, y, plain = tape.start[a], tape.stop[b - 1], taken[kind]
+            while near[kind] < len(plain) and plain[near[kind]][1] <= x:
+                near[kind] += 1
+            if x >= end[kind] and (near[kind] == len(plain) or plain[near[kind]][0] >= y):
                 out.append((kind, x, y))
-                taken[kind].append((x, y))
+                end[kind] = y
     return out
 
 

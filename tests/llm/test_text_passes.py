@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -75,6 +76,24 @@ def test_mixed_disguises(text, want):
     assert [text[a:b] for _, a, b in found] == want
 
 
+def test_very_many_findings_in_one_text():
+    """Plain and disguised addresses by turns: every one is found at its place, none twice; a long text keeps 8 bytes a character besides itself."""
+    parts, want, at = [], {"plain": [], "added": []}, 0
+    for i in range(8000):
+        for kind, form in (("added", f"user{i} [at] mail{i}.example.com"), ("plain", f"a{i}@x{i}.org")):
+            parts.append(form + ", ")
+            want[kind].append(("email", at, at + len(form)))
+            at += len(form) + 2
+    text = "".join(parts)
+    base = deobfuscate.detect(text)
+    assert base == want["plain"]
+    began = time.process_time()
+    assert deobfuscate.disguised(text, base) == want["added"]
+    assert time.process_time() - began < 4
+    tape = deobfuscate.Tape(text)
+    assert tape.start.itemsize + tape.stop.itemsize == 8
+
+
 def test_pii_odd_rows(spark):
     got = deobfuscate.find_personal_data(clashing(spark, [*ODD, (50, "9" * 60_000 + "a." * 20_000 + "@", "s")]))
     assert got.count() == len(ODD) + 1 and deobfuscate.find_personal_data(clashing(spark, [])).collect() == []
