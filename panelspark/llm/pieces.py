@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from panelspark.llm.common import arrow_pass, texts
 
 MARK = "▁"
-#: Entries a task remembers before it starts afresh; bounds its memory.
-REMEMBERED = 300_000
+#: Entries, and bytes of units and ids with 200 for each entry, that a task remembers before it starts afresh; bounds its memory.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 1 << 27
 
 
 codecs.register_error("each_byte", lambda e: ("\ufffd", e.start + 1))
@@ -90,7 +90,7 @@ class PieceCodec:
         self.always = {"": b"", MARK: struct.pack("<I", mark), "\n": struct.pack("<I", self.feed)}
         self.begin, self.end = struct.pack("<I", self.bos), struct.pack("<I", self.eos)
         self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(MARK, " ").encode() if p.type == 1 else b" \xe2\x81\x87 " if p.type == 2 else b"" for p in m.pieces]
-        self.known = dict(self.always)
+        self.known, self.held = dict(self.always), 0
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text with its leading mark, and for each of its characters (and the end) the source byte it starts at."""
@@ -112,6 +112,7 @@ class PieceCodec:
         ids = np.array(self.library.encode("\n" + "\n".join(new).replace(MARK, " ") + "\n"), "<u4")
         raw, at = ids.tobytes(), (4 * np.flatnonzero(ids == self.feed)).tolist()
         self.known.update(zip(new, [raw[i + 4 : j] for i, j in zip(at, at[1:], strict=False)], strict=True))
+        self.held += len(raw) + 4 * sum(map(len, new)) + 200 * len(new)
 
     def covered(self, ids: np.ndarray) -> np.ndarray:
         """Normalised characters up to the end of each piece; of a character's byte pieces only the last covers it."""
@@ -142,8 +143,8 @@ class PieceCodec:
         else:
             norm, ends = self.normalise(text)
             units = self.unit.findall(norm)
-        if len(self.known) > REMEMBERED:
-            self.known = dict(self.always)
+        if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.known, self.held = dict(self.always), 0
         known = self.known
         got = list(map(known.get, units))
         if None in got:

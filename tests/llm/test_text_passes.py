@@ -164,6 +164,17 @@ def test_pieces_against_the_library(library, codec):
         assert spans == [(p.begin, p.end) for p in library.encode(t, return_type="proto").pieces]
 
 
+def test_remembered_bytes_are_bounded(library, codec, monkeypatch):
+    """Long units without blanks that never come again: the memory starts afresh beyond its bytes, the ids stay those of the library."""
+    monkeypatch.setattr(pieces, "REMEMBERED_BYTES", 200_000)
+    rng, most = random.Random(5), 0
+    for _ in range(300):
+        text = "\n".join("".join(chr(rng.randint(0x4E00, 0x5E00)) for _ in range(150)) for _ in range(3))
+        assert codec.encode(text)[0].tolist() == library.encode(text, add_bos=True, add_eos=True)
+        most = max(most, codec.held)
+    assert 200_000 < most < 220_000
+
+
 def test_decoding_any_ids(library, codec):
     random.seed(4)
     for _ in range(2000):
