@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,21 +62,29 @@ def continuous_contract(c="symbol") -> Column:
 
 
 def clean_text(c) -> Column:
-    """Keeps CJK and ASCII letters and digits, collapses blanks."""
-    return F.regexp_replace(F.regexp_replace(F.trim(col(c)), "[^一-龥a-zA-Z0-9]", " "), r"\s+", " ")
+    """Keeps CJK and ASCII letters and digits, collapses all between them to one blank."""
+    return F.regexp_replace(F.trim(col(c)), "[^一-龥a-zA-Z0-9]+", " ")
 
 
 def lexicon_sentiment(text, positive: Sequence[str], negative: Sequence[str]) -> Column:
-    """struct(sentiment, positive_score, negative_score) by distinct contained words."""
-    t = clean_text(text)
+    """struct(sentiment, positive_score, negative_score) by distinct contained words of the cleaned text.
 
-    def hits(words):
-        return F.aggregate(F.array(*[F.lit(w) for w in words]), F.lit(0), lambda a, w: a + F.when(t.contains(w), 1).otherwise(0))
+    A word of kept characters alone stands in the cleaned text just where it stands in the text, so only other words need the cleaning.  The steps are lambdas
+    over arrays of one element, so that text and counts are evaluated once a row.
+    """
+    plain = all(re.fullmatch("[一-龥a-zA-Z0-9]+", w) for w in (*positive, *negative))
 
-    p, n = hits(positive), hits(negative)
-    tot = F.nullif(p + n, F.lit(0))
-    return F.struct(F.coalesce((p - n) / tot, F.lit(0.0)).alias("sentiment"), F.coalesce(p / tot, F.lit(0.0)).alias("positive_score"),
-                    F.coalesce(n / tot, F.lit(0.0)).alias("negative_score"))
+    def hits(t, words):
+        return sum((F.when(t.contains(w), 1).otherwise(0) for w in words), F.lit(0))
+
+    def scores(h):
+        p, n = h["p"], h["n"]
+        tot = F.nullif(p + n, F.lit(0))
+        return F.struct(F.coalesce((p - n) / tot, F.lit(0.0)).alias("sentiment"), F.coalesce(p / tot, F.lit(0.0)).alias("positive_score"),
+                        F.coalesce(n / tot, F.lit(0.0)).alias("negative_score"))
+
+    found = F.transform(F.array(col(text) if plain else clean_text(text)), lambda t: F.struct(hits(t, positive).alias("p"), hits(t, negative).alias("n")))
+    return F.get(F.transform(found, scores), F.lit(0))
 
 
 def net_up_probability(direction, p) -> Column:

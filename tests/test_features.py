@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelspark.functions import scalar as fx
 from panelspark.operators import factors as fa, indicators as ti, labels as lb
 from panelspark.operators.windows import Series
 
@@ -94,3 +95,13 @@ def test_cross_section_ranks(spark):
     wide = p.pivot(index="date", columns="symbol", values="close").pct_change()
     want = wide.rank(axis=1, pct=True).T.stack(future_stack=True).to_numpy()
     assert np.allclose(got["xsec_ret_rank"].fillna(-1), pd.Series(want).fillna(-1))
+
+
+def test_lexicon_scores_read_a_text_once(spark):
+    df = spark.createDataFrame([("  that中--whou heron!!thon ", ), ("the~ron", ), (None, ), ("a that b", )], "title string")
+    a = df.select(fx.lexicon_sentiment("title", ["that", "heron"], ["whou", "thon", "anan"]).alias("s")).select("s.*")
+    assert [tuple(r) for r in a.collect()] == [(0.0, 0.5, 0.5), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0), (1.0, 1.0, 0.0)]
+    b = df.select(fx.lexicon_sentiment("title", ["a that"], ["whou heron", "ron"]).alias("s")).select("s.*")  # words with blanks: the cleaned text counts
+    assert [r[0] for r in b.collect()] == [-1.0, -1.0, 0.0, 1.0]
+    one, other = (x._jdf.queryExecution().optimizedPlan().toString().lower() for x in (a, b))
+    assert "regexp_replace" not in one and other.count("regexp_replace") == 1
