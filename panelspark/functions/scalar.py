@@ -66,6 +66,11 @@ def clean_text(c) -> Column:
     return F.regexp_replace(F.trim(col(c)), "[^一-龥a-zA-Z0-9]+", " ")
 
 
+def clean_length(c) -> Column:
+    """Length of ``clean_text``: one other character is one blank, so only runs of them are replaced."""
+    return F.length(F.regexp_replace(F.trim(col(c)), "[^一-龥a-zA-Z0-9]{2,}", " "))
+
+
 def lexicon_sentiment(text, positive: Sequence[str], negative: Sequence[str]) -> Column:
     """struct(sentiment, positive_score, negative_score) by distinct contained words of the cleaned text.
 

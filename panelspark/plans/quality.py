@@ -145,7 +145,7 @@ _hits = lambda ws: " + ".join(f"(contains(t, '{w}'))::int" for w in ws)  # noqa:
 def text_sentiment(spark, sf):
     n = derive.news(spark, sf)
     s = fx.lexicon_sentiment("title", _pos, _neg)
-    return rnd(n.select("doc_id", F.length(fx.clean_text("title")).alias("n_clean"), s.alias("s")).select("doc_id", "n_clean", "s.*"))
+    return rnd(n.select("doc_id", fx.clean_length("title").alias("n_clean"), s.alias("s")).select("doc_id", "n_clean", "s.*"))
 
 
 @query("score_functions", "SF5 SF6 SF7 SF8 SF15", f"""with {q.SCORES} select symbol, {q.D}, horizon, {q.rs(6, p_net='case when p_up >= 0.5 then p_up else 1 - (1 - p_up) end', confidence='2 * abs(p_up - 0.5)',

@@ -105,3 +105,8 @@ def test_lexicon_scores_read_a_text_once(spark):
     assert [r[0] for r in b.collect()] == [-1.0, -1.0, 0.0, 1.0]
     one, other = (x._jdf.queryExecution().optimizedPlan().toString().lower() for x in (a, b))
     assert "regexp_replace" not in one and other.count("regexp_replace") == 1
+
+
+def test_clean_length(spark):
+    df = spark.createDataFrame([(x,) for x in ("", "   ", " a  b ", "中,,文 \t😀", "😀", "a😀b\n\nc", None)], "t string")
+    assert all(r[0] == r[1] for r in df.select(fx.clean_length("t"), F.length(fx.clean_text("t"))).collect())
