@@ -37,6 +37,13 @@ def log_growth(r: Column) -> Column:
     return F.when(F.min(r) > -1, F.sum(F.log1p(F.when(r > -1, r))))
 
 
+def log_wealth(r: Column, over=None) -> Column:
+    """Sum of log(1 + r): minus infinity from a loss of everything on, NaN from a greater loss on, whose debt has no growth."""
+    x = 1 + r
+    part = F.sum(F.when(x > 0, F.log(x)).when(x == 0, -math.inf).when(x < 0, math.nan))
+    return part.over(over) if over is not None else part
+
+
 def equal_weight_plan(signals: DataFrame, min_confidence: float = 0.0) -> DataFrame:
     """Weight 1 for a bullish action with enough confidence, else 0."""
     bull = F.lower(F.col("action").cast("string")).isin("buy", "long", "1", "1.0")

@@ -149,3 +149,18 @@ def test_trading_metrics_follow_their_definition(spark):
     assert abs(m["profit_factor"] - 5000) < 1e-9 and not m["profit_factor_is_capped"]
     m = one([5.0, 1.0])
     assert m["profit_factor"] == 999 and m["profit_factor_is_capped"]
+
+
+def hour_events(tmp_path, spark, rows):
+    """rows: (event_type, hours since the start, value)."""
+    spark.createDataFrame(rows, "event_type string, h int, value double").select(
+        F.monotonically_increasing_id().alias("event_id"), (F.timestamp_seconds(F.lit(1704067200) + F.col("h") * 3600)).alias("ts"), F.lit(1).cast("long").alias("user_id"), "event_type", "value", F.lit("{}").alias("props")).write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def test_buy_and_hold_growth_beyond_the_range_of_doubles(spark, tmp_path):
+    from panelspark.plans import QUERIES
+
+    sf = hour_events(tmp_path, spark, [("a", h, 1.0 if h % 2 else 1e-200) for h in range(5)] + [("a", 5, 1.0), ("b", 0, 1.0)] + [("b", h, 1.0) for h in range(1, 6)])
+    got = QUERIES["buy_hold_plan"](spark, sf).first()
+    assert abs(got["log_return"] - (3 * math.log(0.5e200) + 2 * math.log(0.5) - 0.00075)) < 1e-3
