@@ -5,6 +5,9 @@ end.  The first graph comes from blocks of rows that lie side by side under rand
 and reverse neighbours with one another: rows (node, neighbour, code of the neighbour) are sorted by node and taken in blocks of 64, so a node that
 very many others point to is many blocks, none of them left out.  Pairs closer than the farthest neighbour kept so far enter the graph.
 
+A search begins at its own node and at the hubs of the graph.  A sample of the queries is measured against all nodes; as long as too few of their nearest
+are found, all searches go on with twice the nodes held.
+
 Building and search carry the vectors themselves (32 bits a component), and every distance is measured in double precision.
 
 Vectors that are null, zero, hold a null or non-finite component, or have another length than most take no part, neither as queries nor as candidates.
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import Kept, ship
 
 NEIGHBOURS, TREES, PLANES, LEAF, BLOCK, BEAM = 16, 4, 12, 160, 64, 48
+#: Nodes of most neighbours at which every search begins besides its own; queries measured against all nodes, and the share of their nearest that must be found.
+HUBS, SAMPLE, FOUND = 16, 64, 0.97
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -180,14 +185,25 @@ def closer(pairs: DataFrame) -> DataFrame:
     return pairs.select("q", "node", "code", "qcode").mapInArrow(run, "q long, node long, d double")
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, kept: Kept, beam: int = BEAM) -> DataFrame:
-    """q, node: the ``beam`` nearest nodes found for each query (q, start, qcode).
+def ways(graph: DataFrame) -> DataFrame:
+    """The edges of the graph in either direction."""
+    return graph.select("node", "nbr").unionByName(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct()
+
+
+def begin(queries: DataFrame, nodes: DataFrame, way: DataFrame) -> DataFrame:
+    """q, node, d of the nodes at which the searches begin."""
+    hubs = way.groupBy("node").count().orderBy(F.desc("count"), "node").limit(HUBS).select("node").join(nodes, "node")
+    own = queries.select("q", F.col("start").alias("node"), "qcode").join(nodes, "node").select("q", "node", "code", "qcode")
+    far = queries.select("q", "start", "qcode").crossJoin(F.broadcast(hubs)).where("node <> start").select("q", "node", "code", "qcode")
+    return closer(own.unionByName(far))
+
+
+def search(queries: DataFrame, nodes: DataFrame, way: DataFrame, held: DataFrame, kept: Kept, beam: int) -> tuple[DataFrame, str]:
+    """q, node, d: the ``beam`` nearest nodes found for each query (q, qcode) from those in ``held`` on, and the path of the table.
 
     Every hop opens the beam's unopened nodes, measures their neighbours in either direction and keeps the nearest; it ends when no unopened node is left.
     """
-    way, way_path = kept.write(graph.select("node", "nbr").unionByName(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct())
-    start = queries.select("q", F.col("start").alias("node"), "qcode").join(nodes, "node")
-    held, path = kept.write(closer(start).withColumn("open", F.lit(1)))
+    held, path = kept.write(held.select("q", "node", "d", F.lit(1).alias("open")))
     order = Window.partitionBy("q").orderBy("d", "node")
     while True:
         step = held.where("open = 1").select("q", "node").join(way, "node").select("q", F.col("nbr").alias("node")).distinct().join(held.select("q", "node"), ["q", "node"], "left_anti")
@@ -197,9 +213,44 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, kept: Kept, b
         kept.drop(path)
         held, path = new, new_path
         if not held.where("open = 1").limit(1).count():
-            break
-    kept.drop(way_path)
-    return held.select("q", "node")
+            return held.select("q", "node", "d"), path
+
+
+def reach(queries: DataFrame, nodes: DataFrame, top: int) -> DataFrame:
+    """q, n, far: for a sample of the queries the number (``top`` at most) of the nearest other nodes, by measuring all, and the distance of the last."""
+    some = queries.select("q", "qcode").orderBy(F.xxhash64("q"), "q").limit(SAMPLE).collect()
+    asked = [(r[0], np.frombuffer(bytes(r[1]), np.float32).astype(np.float64)) for r in some]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ids, x = np.asarray(b.column("node")), codes(b.column("code"))
+                for q, v in asked:
+                    d = np.square(x - v).sum(1)
+                    d[ids == q] = np.inf
+                    near = np.argpartition(d, min(top, len(d)) - 1)[:top]
+                    near = near[d[near] < np.inf]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q)), pa.array(ids[near]), pa.array(d[near])], names=["q", "node", "d"])
+
+    r = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
+    return nodes.mapInArrow(run, "q long, node long, d double").withColumn("r", r).where(F.col("r") <= top).groupBy("q").agg(F.count("*").alias("n"), F.max("d").alias("far"))
+
+
+def search_all(queries: DataFrame, nodes: DataFrame, graph: DataFrame, kept: Kept, top: int, beam: int = BEAM) -> DataFrame:
+    """q, node of the nearest nodes found; the beam is doubled until ``FOUND`` of the sample's nearest are there, or doubling it finds no more."""
+    way, _ = kept.write(ways(graph))
+    truth, _ = kept.write(reach(queries, nodes, top))
+    held, path, last = begin(queries, nodes, way), None, -1.0
+    while True:
+        held, new_path = search(queries, nodes, way, held, kept, beam)
+        if path:
+            kept.drop(path)
+        path = new_path
+        got = held.where("node <> q").join(F.broadcast(truth), "q").where(F.col("d") <= F.col("far") * (1 + 1e-12)).groupBy("q").agg(F.least(F.count("*"), F.first("n")).alias("hits"))
+        hits, total = got.agg(F.sum("hits")).first()[0] or 0, truth.agg(F.sum("n")).first()[0] or 0
+        if hits >= FOUND * total or hits <= last:
+            return held.select("q", "node")
+        beam, last = 2 * beam, hits
 
 
 def nearest(rows: DataFrame, wanted, top: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -227,7 +278,7 @@ def nearest(rows: DataFrame, wanted, top: int = 10, id_col: str = "vec_id", vec_
     # queries with one vector walk the same way: the walk is done once a node
     walk = ask.select("start").distinct().join(nodes.select(F.col("node").alias("start"), F.col("code").alias("qcode"), F.col("v").alias("qv")), "start").withColumn("q", F.col("start"))
     walk, _ = kept.write(walk)
-    met = search(walk, nodes.select("node", "code"), graph, kept)
+    met = search_all(walk, nodes.select("node", "code"), graph, kept, top)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -85,3 +85,16 @@ def test_few_rows(spark):
     assert [i for i, _ in got[0]] == [1, 2]
     assert collect(nn_descent.nearest(table(spark, [(0, [1, 2])]), lambda i: i % 100 == 0)) == {}
     assert collect(nn_descent.nearest(table(spark, []), lambda i: i % 100 == 0)) == {}
+
+
+def test_searches_widen_and_begin_at_hubs(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(1500, 48)) * np.exp(draw.normal(size=(1500, 1)) * 2)
+    seen = []
+    real = nn_descent.search
+    monkeypatch.setattr(nn_descent, "NEIGHBOURS", 6)
+    monkeypatch.setattr(nn_descent, "search", lambda *a: seen.append(a[-1]) or real(*a))
+    monkeypatch.setattr(nn_descent.search_all, "__defaults__", (12,))
+    monkeypatch.setattr(nn_descent.build, "__defaults__", (6, 0.01))
+    assert recall(spark, list(enumerate(x.tolist())), lambda i: i % 50 == 0) >= 0.95
+    assert seen == [12 * 2**i for i in range(len(seen))] and len(seen) > 1
