@@ -15,7 +15,7 @@ columns are fine.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,10 +51,10 @@ def digests(text: str, width: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[a:b], SEED) for a, b in zip(begin[at : at + CHUNK], end[at : at + CHUNK], strict=True)], np.uint64)
 
 
-def majority(text: str, width: int) -> int:
-    """The fingerprint."""
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The fingerprint of the hashes of all shingles, repeats included."""
     ones, n = np.zeros(BITS, np.int64), 0
-    for h in digests(text, width):
+    for h in hashes:
         ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         n += len(h)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
     """doc_id and fp (signed 64 bits) for every row."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        got = np.array([majority(t, width) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+        got = np.array([majority(digests(t, width)) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got)], names=["doc_id", "fp"])
 
     return arrow_pass(texts(docs, id_col, text_col), run, "doc_id long, fp long")
@@ -119,9 +119,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     return own.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingles(text: str, width: int) -> np.ndarray:
+def shingles(got: list[np.ndarray]) -> np.ndarray:
     """The distinct hashes of the shingles, ascending; a text without words has one shingle of its own."""
-    got = list(digests(text, width))
     return np.unique(np.concatenate(got)) if got else np.zeros(1, np.uint64)
 
 
@@ -224,14 +223,17 @@ def tile_links(tile: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return rows.repartition("key", "f", "j").sortWithinPartitions("key", "f", "j", "side").mapInArrow(run, "a string, b string")
 
 
-def alike_components(own: DataFrame, sets: DataFrame, similarity: float, kept: Kept) -> DataFrame:
-    """node, root of the texts linked by pairs of that similarity.  ``own``: distinct ``node``, n (number of shingles), bands; ``sets``: the same nodes with ``h``, their shingles.
+def alike_components(own: DataFrame, sets: DataFrame, similarity: float, kept: Kept, more: DataFrame | None = None) -> DataFrame:
+    """node, root of the texts linked by pairs of that similarity.  ``own``: distinct ``node``, n (number of shingles), bands; ``sets``: the same nodes with ``h``, their shingles; ``more``: buckets beside
+    those of the bands (``key, node, n``).
 
     A text is compared with one least member of its buckets; then each bucket compares the texts outside its largest component with those of others, tile by
     tile, and only links that join components come out.
     """
     key = Window.partitionBy("key")
     spread = own.select("node", "n", F.explode("bands").alias("key"))
+    if more is not None:
+        spread = spread.unionByName(more)
     bucket, path = kept.write(spread.select("key", "node", "n", F.min("node").over(key).alias("head"), F.max("node").over(key).alias("last")).where("head <> last").drop("last"))
     # only the sets of texts that meet another are read again
     some, some_path = kept.write(sets.join(bucket.select("node").distinct(), "node", "left_semi"))
@@ -247,11 +249,18 @@ def alike_components(own: DataFrame, sets: DataFrame, similarity: float, kept: K
     return components(first.unionByName(second)) if second.limit(1).count() else label
 
 
-def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def fingerprint_groups(own: DataFrame, distance: int) -> DataFrame:
+    """key, node, n: one bucket for the texts whose fingerprints ``fp`` are linked, by the index of deletion variants, in any number of steps."""
+    label, _ = links(own.select("fp").distinct(), distance)
+    return own.join(label.withColumnRenamed("node", "fp"), "fp", "left").select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"), "node", "n")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 4) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest id (then the least hash of its text) stays.
 
-    Texts that share one of ``BANDS`` bands of minima of their sets of ``width``-word shingles are compared by these sets themselves, and linked from a
-    similarity (Jaccard) of ``similarity`` on.  Texts without words are copies of one another.  Rows of one id and
+    Texts whose SimHash fingerprints are linked within ``distance`` bits, as in ``near_duplicates``, are compared by their sets of ``width``-word shingles
+    themselves, and linked from a similarity (Jaccard) of ``similarity`` on.  Pairs of that similarity often differ in more bits, so texts that share one of
+    ``BANDS`` bands of minima of these sets are compared as well.  Texts without words are copies of one another.  Rows of one id and
     different texts are documents of their own, equal rows of one id are one; rows without id are left alone.  Columns must have an order (no maps).
     """
     kept = Kept(docs.sparkSession, "near")
@@ -259,12 +268,16 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     each = texts(rows).select(F.md5(F.col("text").cast("binary")).alias("node"), F.col("doc_id").alias("id"), "text").groupBy("node").agg(F.min("id").alias("least"), F.min("text").alias("text"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, width) for t in b.column("text").to_pylist()]
+        sets, fp = [], []
+        for t in b.column("text").to_pylist():
+            got = list(digests(t, width))
+            sets.append(shingles(got))
+            fp.append(majority(got))
         held = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(h) for h in sets]))), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-        return pa.RecordBatch.from_arrays([b.column("node"), b.column("least"), pa.array(list(map(len, sets)), pa.int32()), pa.array([bands(h) for h in sets], pa.list_(pa.int64())), held], names=["node", "least", "n", "bands", "h"])
+        return pa.RecordBatch.from_arrays([b.column("node"), b.column("least"), pa.array(list(map(len, sets)), pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array([bands(h) for h in sets], pa.list_(pa.int64())), held], names=["node", "least", "n", "fp", "bands", "h"])
 
-    own, own_path = kept.write(arrow_pass(each, run, "node string, least long, n int, bands array<long>, h array<long>"))
-    label = alike_components(own.select("node", "n", "bands"), own.select("node", "h"), similarity, kept)
+    own, own_path = kept.write(arrow_pass(each, run, "node string, least long, n int, fp long, bands array<long>, h array<long>"))
+    label = alike_components(own.select("node", "n", "bands"), own.select("node", "h"), similarity, kept, fingerprint_groups(own.select("node", "n", "fp"), distance))
     rooted = own.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     stays, _ = kept.write(rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("s")).select(F.col("s.least").alias("__id"), F.col("s.node").alias("__node")))
     kept.drop(own_path)

@@ -131,3 +131,15 @@ def test_components(spark):
     got = {r[0]: r[1] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(200)}}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_linked_fingerprints_are_compared_by_their_sets(spark):
+    texts = {"a": (0, range(100)), "b": (15, range(5, 105)), "c": (255, range(300, 400)), "d": (-1, range(100)), "e": (15, range(310, 400))}
+    own = spark.createDataFrame([(n, len(h), fp, [i]) for i, (n, (fp, h)) in enumerate(texts.items())], "node string, n int, fp long, bands array<long>")
+    sets = spark.createDataFrame([(n, list(h)) for n, (_, h) in texts.items()], "node string, h array<long>")
+    groups = simhash.fingerprint_groups(own.select("node", "n", "fp"), 4)
+    keys = {r["node"]: r["key"] for r in groups.collect()}
+    assert keys["a"] == keys["b"] == keys["c"] == keys["e"] != keys["d"]
+    kept = simhash.Kept(spark, "test")
+    assert simhash.alike_components(own, sets, 0.8, kept).collect() == []
+    assert {tuple(r) for r in simhash.alike_components(own, sets, 0.8, kept, groups).select("node", "root").collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("e", "c")}
