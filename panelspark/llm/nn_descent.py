@@ -1,12 +1,12 @@
 """Approximate nearest neighbours: NN-descent builds a neighbour graph, greedy graph search answers queries.
 
 Equal vectors are one node (the smallest id stands for them), so a vector shared by a third of the rows is one node whose members are listed again at the
-end.  The first graph comes from blocks of rows that lie side by side under random hyperplanes.  Each descent round joins, at every node, its neighbours
-and reverse neighbours with one another: rows (node, neighbour, code of the neighbour) are sorted by node and taken in blocks of 64, so a node that
+end.  The first graph comes from blocks of rows that lie side by side under random hyperplanes, all rows of a block against all; further sets of hyperplanes are
+laid until few edges are new, so the descent begins near its end.  Each descent round joins, at every node, its neighbours and reverse neighbours with one another: rows (node, neighbour, code of the neighbour) are sorted by node and taken in blocks of 64, so a node that
 very many others point to is many blocks, none of them left out.  Pairs closer than the farthest neighbour kept so far enter the graph.
 
-A search begins at its own node and at the hubs of the graph.  A sample of the queries is measured against all nodes; as long as too few of their nearest
-are found, all searches go on with twice the nodes held.
+A search begins at its own node.  A sample of the queries is measured against all nodes; as long as too few of their nearest are found, all searches go on
+with twice the nodes held, and from the hubs of the graph as well.
 
 Building and search carry the vectors themselves (32 bits a component), and every distance is measured in double precision.
 
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import Kept, ship
 
-NEIGHBOURS, TREES, PLANES, LEAF, BLOCK, BEAM = 16, 4, 12, 160, 64, 48
-#: Nodes of most neighbours at which every search begins besides its own; queries measured against all nodes, and the share of their nearest that must be found.
+NEIGHBOURS, TREES, PLANES, LEAF, BLOCK, BEAM = 16, 8, 12, 1024, 64, 48
+#: Share of new edges below which no more trees are laid.
+GROWN = 0.05
+#: Nodes of most neighbours from which a search that is widened goes on as well; queries measured against all nodes, and the share of their nearest that must be found.
 HUBS, SAMPLE, FOUND = 16, 64, 0.97
 
 
@@ -90,14 +92,38 @@ def blocks(batches: Iterator[pa.RecordBatch], keys: list[str] | None, most: int)
         yield from (x for x in cut(held, True) if not isinstance(x, int))
 
 
-def first_graph(nodes: DataFrame, n: int, dim: int, k: int, seed: int = 11) -> DataFrame:
-    """node, nbr, d: the nearest in blocks of rows under each of several sets of random hyperplanes.
+def closest(x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the ``m`` nearest other rows, squared distances) for each row.
 
-    Rows on the same side of all planes, as those of a tight group, are cut into blocks along one more direction.
+    The nearest are chosen by products, from the middle of the rows so that a far row blurs no other, and measured by their differences; rows so close to
+    others that products cannot tell them apart are measured by differences throughout.
     """
-    draw = np.random.default_rng(seed)
+    mid = x - np.median(x, axis=0)
+    norm = np.square(mid).sum(1)
+    d = norm[:, None] + norm[None] - 2 * (mid @ mid.T)
+    np.fill_diagonal(d, np.inf)
+    near = np.argpartition(d, m - 1, axis=1)[:, :m]
+    for i in np.flatnonzero(~(np.take_along_axis(d, near, 1).min(1) > 1e-8 * norm)):
+        d[i] = np.square(x - x[i]).sum(1)
+        d[i, i] = np.inf
+        near[i] = np.argpartition(d[i], m - 1)[:m]
+    return near, np.stack([np.square(x[c] - row).sum(1) for c, row in zip(near, x, strict=True)])
+
+
+def bounds(graph: DataFrame, k: int) -> DataFrame:
+    """node, far: the distance that a new neighbour must undercut."""
+    return graph.groupBy("node").agg(F.max("d").alias("far"), F.count("*").alias("n")).select("node", F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.col("far")).alias("far"))
+
+
+def forest(nodes: DataFrame, n: int, dim: int, k: int, turn: int, graph: DataFrame | None = None) -> DataFrame:
+    """node, nbr, d: the nearest in blocks of rows under each of several sets of random hyperplanes, if nearer than the neighbours that ``graph`` has.
+
+    Rows on the same side of all planes, as those of a tight group, are cut into blocks along one more direction.  ``turn`` draws other hyperplanes.
+    """
+    draw = np.random.default_rng(11 + turn)
     planes, axes = draw.normal(size=(TREES * PLANES, dim)), draw.normal(size=(TREES, dim))
     weight = (1 << np.arange(PLANES - 1, -1, -1)).astype(np.int64)
+    names = ["node", "code", "far"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,22 +131,35 @@ def first_graph(nodes: DataFrame, n: int, dim: int, k: int, seed: int = 11) -> D
                 x = codes(b.column("code"))
                 side, along = (x @ planes.T > 0).reshape(b.num_rows, TREES, PLANES) @ weight, x @ axes.T
                 for t in range(TREES):
-                    yield pa.RecordBatch.from_arrays([b.column("node"), b.column("code"), pa.array(np.full(b.num_rows, t, np.int32)), pa.array(side[:, t].astype(np.int32)), pa.array(along[:, t])], names=["node", "code", "tree", "leaf", "along"])
+                    yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(np.full(b.num_rows, t, np.int32)), pa.array(side[:, t].astype(np.int32)), pa.array(along[:, t])], names=[*names, "tree", "leaf", "along"])
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in blocks(batches, ["tree"], LEAF):
             if t.num_rows < 2:
                 continue
-            ids, x = np.asarray(t.column("node")), codes(t.column("code"))
-            d = squares(x)
-            np.fill_diagonal(d, np.inf)
-            m = min(k, len(ids) - 1)
-            near = np.argpartition(d, m - 1, axis=1)[:, :m]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(ids[near.ravel()]), pa.array(np.take_along_axis(d, near, 1).ravel())], names=["node", "nbr", "d"])
-
-    placed = nodes.mapInArrow(place, "node long, code binary, tree int, leaf int, along double")
+            ids, far = (np.asarray(t.column(c)) for c in ("node", "far"))
+            near, d = closest(codes(t.column("code")), min(k, len(ids) - 1))
+            i, j = np.nonzero(d < far[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[near[i, j]]), pa.array(d[i, j])], names=["node", "nbr", "d"])
+
+    none = F.lit(float("inf"))
+    bound = nodes.withColumn("far", none) if graph is None else nodes.join(bounds(graph, k), "node", "left").withColumn("far", F.coalesce("far", none))
+    placed = bound.select(*names).mapInArrow(place, "node long, code binary, far double, tree int, leaf int, along double")
     laid = placed.repartition(max(1, n * TREES // 8192), "tree", F.shiftright("leaf", PLANES - 5)).sortWithinPartitions("tree", "leaf", "along")
-    return best(laid.mapInArrow(nearest, "node long, nbr long, d double"), k)
+    return laid.mapInArrow(nearest, "node long, nbr long, d double")
+
+
+def first_graph(nodes: DataFrame, n: int, dim: int, kept: Kept, k: int) -> tuple[DataFrame, str]:
+    """The graph before the descent, as a kept table, and its path: trees are laid until fewer than ``GROWN`` of the edges are new."""
+    graph, path = kept.write(best(forest(nodes, n, dim, k, 0), k).withColumn("fresh", F.lit(1)))
+    for turn in count(1):
+        found = forest(nodes, n, dim, k, turn, graph).withColumn("fresh", F.lit(1))
+        new, new_path = kept.write(best(graph.select("node", "nbr", "d", F.lit(0).alias("fresh")).unionByName(found), k))
+        kept.drop(path)
+        graph, path = new, new_path
+        total, fresh = graph.agg(F.count("*"), F.sum("fresh")).first()
+        if not total or fresh < GROWN * total:
+            return graph.withColumn("fresh", F.lit(1)), path
 
 
 def best(pairs: DataFrame, k: int) -> DataFrame:
@@ -132,7 +171,7 @@ def best(pairs: DataFrame, k: int) -> DataFrame:
 
 def descend(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame:
     """One round: node, nbr, d, fresh (1: found in this round).  ``turn`` deals the neighbours of a hub to other blocks each time."""
-    far = graph.groupBy("node").agg(F.max("d").alias("far"), F.count("*").alias("n")).select("node", F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.col("far")).alias("far"))
+    far = bounds(graph, k)
     both = graph.select(F.col("node").alias("at"), F.col("nbr").alias("node"), "fresh").unionByName(graph.select(F.col("nbr").alias("at"), "node", "fresh")).groupBy("at", "node").agg(F.max("fresh").alias("fresh"))
     met = both.join(nodes.join(far, "node", "left").select("node", "code", F.coalesce("far", F.lit(float("inf"))).alias("far")), "node")
     met = met.repartition("at").sortWithinPartitions("at", F.xxhash64("node", F.lit(turn)))
@@ -163,7 +202,7 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame:
 
 def build(nodes: DataFrame, n: int, dim: int, kept: Kept, k: int = NEIGHBOURS, settled: float = 0.01) -> DataFrame:
     """The graph, as a kept table: rounds go on until fewer than ``settled`` of its edges are new."""
-    graph, path = kept.write(first_graph(nodes, n, dim, k).withColumn("fresh", F.lit(1)))
+    graph, path = first_graph(nodes, n, dim, kept, k)
     for turn in count():
         new, new_path = kept.write(descend(graph, nodes, k, turn))
         kept.drop(path)
@@ -190,12 +229,15 @@ def ways(graph: DataFrame) -> DataFrame:
     return graph.select("node", "nbr").unionByName(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct()
 
 
-def begin(queries: DataFrame, nodes: DataFrame, way: DataFrame) -> DataFrame:
+def own(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """q, node, d of the nodes at which the searches begin."""
-    hubs = way.groupBy("node").count().orderBy(F.desc("count"), "node").limit(HUBS).select("node").join(nodes, "node")
-    own = queries.select("q", F.col("start").alias("node"), "qcode").join(nodes, "node").select("q", "node", "code", "qcode")
-    far = queries.select("q", "start", "qcode").crossJoin(F.broadcast(hubs)).where("node <> start").select("q", "node", "code", "qcode")
-    return closer(own.unionByName(far))
+    return closer(queries.select("q", F.col("start").alias("node"), "qcode").join(nodes, "node").select("q", "node", "code", "qcode"))
+
+
+def hubs(queries: DataFrame, nodes: DataFrame, way: DataFrame) -> DataFrame:
+    """q, node, d of the nodes of most neighbours, for every query."""
+    most = way.groupBy("node").count().orderBy(F.desc("count"), "node").limit(HUBS).select("node").join(nodes, "node")
+    return closer(queries.select("q", "start", "qcode").crossJoin(F.broadcast(most)).where("node <> start").select("q", "node", "code", "qcode"))
 
 
 def search(queries: DataFrame, nodes: DataFrame, way: DataFrame, held: DataFrame, kept: Kept, beam: int) -> tuple[DataFrame, str]:
@@ -240,7 +282,7 @@ def search_all(queries: DataFrame, nodes: DataFrame, graph: DataFrame, kept: Kep
     """q, node of the nearest nodes found; the beam is doubled until ``FOUND`` of the sample's nearest are there, or doubling it finds no more."""
     way, _ = kept.write(ways(graph))
     truth, _ = kept.write(reach(queries, nodes, top))
-    held, path, last = begin(queries, nodes, way), None, -1.0
+    held, path, last = own(queries, nodes), None, -1.0
     while True:
         held, new_path = search(queries, nodes, way, held, kept, beam)
         if path:
@@ -250,6 +292,8 @@ def search_all(queries: DataFrame, nodes: DataFrame, graph: DataFrame, kept: Kep
         hits, total = got.agg(F.sum("hits")).first()[0] or 0, truth.agg(F.sum("n")).first()[0] or 0
         if hits >= FOUND * total or hits <= last:
             return held.select("q", "node")
+        if last < 0:
+            held = held.unionByName(hubs(queries, nodes, way).join(held, ["q", "node"], "left_anti"))
         beam, last = 2 * beam, hits
 
 

@@ -98,3 +98,25 @@ def test_searches_widen_and_begin_at_hubs(spark, monkeypatch):
     monkeypatch.setattr(nn_descent.build, "__defaults__", (6, 0.01))
     assert recall(spark, list(enumerate(x.tolist())), lambda i: i % 50 == 0) >= 0.95
     assert seen == [12 * 2**i for i in range(len(seen))] and len(seen) > 1
+
+
+def test_graph_of_vectors_without_structure(spark):
+    """Trees laid until few edges are new give the descent a graph that one narrow search suffices for."""
+    x = np.random.default_rng(12).normal(size=(6000, 64)).astype(np.float32)
+    nodes = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "node long, code binary")
+    got = {}
+    for r in nn_descent.build(nodes, len(x), 64, Kept(spark, "graph")).where("node % 100 = 0").collect():
+        got.setdefault(r["node"], set()).add(r["nbr"])
+    near = {q: np.square(x - x[q]).sum(1).argsort()[1:11].tolist() for q in range(0, len(x), 100)}
+    assert sum(len(got[q] & set(n)) for q, n in near.items()) >= 0.9 * 10 * len(near)
+
+
+def test_closest_beside_a_far_row_and_among_rows_almost_equal():
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(300, 8))
+    x[100:200] = x[0] + draw.normal(size=(100, 8)) * 1e-9
+    x[1] *= 1e9
+    near, d = nn_descent.closest(x, 5)
+    want = nn_descent.squares(x)
+    np.fill_diagonal(want, np.inf)
+    assert np.allclose(np.sort(d, 1), np.sort(want, 1)[:, :5], rtol=1e-9) and (near != np.arange(300)[:, None]).all()
