@@ -15,7 +15,7 @@ columns are fine.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -151,7 +151,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         return b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left, right = sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), sets.select(F.col("node").alias("b"), F.col("h").alias("hb"))
-    return arrow_pass(pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "ha", "hb"), run, "a string, b string")
+    return arrow_pass(pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "ha", "hb"), run, "a {0}, b {0}".format(sets.schema["node"].dataType.simpleString()))
 
 
 def tiles(mixed: DataFrame) -> DataFrame:
@@ -169,16 +169,16 @@ def tiles(mixed: DataFrame) -> DataFrame:
     return own.unionByName(met)
 
 
-def compare(few: list[tuple[str, str, np.ndarray]], others: list[tuple[str, str, np.ndarray]], similarity: float) -> list[tuple[str, str]]:
+def compare(few: list[tuple[str | int, str | int, np.ndarray]], others: list[tuple[str | int, str | int, np.ndarray]], similarity: float) -> list[tuple[str | int, str | int]]:
     """Links of that similarity between (node, root, shingles) of different components; of links that join the same components one is enough."""
     if not few or not others:
         return []
     size = np.array([len(h) for _, _, h in others])
     begin = np.concatenate(([0], size.cumsum()[:-1]))
     known, at = np.unique(np.concatenate([h for _, _, h in others]), return_inverse=True)
-    up: dict[str, str] = {}
+    up: dict[str | int, str | int] = {}
 
-    def top(x: str) -> str:
+    def top(x: str | int) -> str | int:
         while (y := up.get(x, x)) != x:
             up[x] = x = up.get(y, y)
         return x
@@ -203,9 +203,10 @@ def tile_links(tile: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     """Links a, b between the texts of each tile; a tile is held while it is compared, nothing else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sides = None, ([], [])
+        last, sides, kind = None, ([], []), None
         for b in batches:
-            found: list[tuple[str, str]] = []
+            kind = b.schema.field("node").type
+            found: list[tuple[str | int, str | int]] = []
             value, end = b.column("h").flatten().to_numpy(), np.concatenate(([0], np.cumsum(b.column("h").value_lengths().to_numpy())))
             names = zip(*(b.column(c).to_pylist() for c in ("key", "f", "j")), strict=True)
             for i, (who, node, root, side) in enumerate(zip(names, *(b.column(c).to_pylist() for c in ("node", "root", "side")), strict=True)):
@@ -214,17 +215,17 @@ def tile_links(tile: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                     last, sides = who, ([], [])
                 sides[side].append((node, root, value[end[i] : end[i + 1]].copy()))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k in (0, 1)], names=["a", "b"])
         if found := compare(*sides, similarity):
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k in (0, 1)], names=["a", "b"])
 
     ship(tile.sparkSession)
     rows = tile.join(sets, "node").select("key", "f", "j", "node", "root", "side", "h")
-    return rows.repartition("key", "f", "j").sortWithinPartitions("key", "f", "j", "side").mapInArrow(run, "a string, b string")
+    return rows.repartition("key", "f", "j").sortWithinPartitions("key", "f", "j", "side").mapInArrow(run, "a {0}, b {0}".format(sets.schema["node"].dataType.simpleString()))
 
 
-def alike_components(own: DataFrame, sets: DataFrame, similarity: float, kept: Kept, more: DataFrame | None = None) -> DataFrame:
-    """node, root of the texts linked by pairs of that similarity.  ``own``: distinct ``node``, n (number of shingles), bands; ``sets``: the same nodes with ``h``, their shingles; ``more``: buckets beside
+def alike_components(own: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame], similarity: float, kept: Kept, more: DataFrame | None = None) -> DataFrame:
+    """node, root of the texts linked by pairs of that similarity.  ``own``: distinct ``node``, n (number of shingles), bands; ``sets``: the same nodes with ``h``, their shingles, or what makes these of given nodes; ``more``: buckets beside
     those of the bands (``key, node, n``).
 
     A text is compared with one least member of its buckets; then each bucket compares the texts outside its largest component with those of others, tile by
@@ -235,8 +236,9 @@ def alike_components(own: DataFrame, sets: DataFrame, similarity: float, kept: K
     if more is not None:
         spread = spread.unionByName(more)
     bucket, path = kept.write(spread.select("key", "node", "n", F.min("node").over(key).alias("head"), F.max("node").over(key).alias("last")).where("head <> last").drop("last"))
-    # only the sets of texts that meet another are read again
-    some, some_path = kept.write(sets.join(bucket.select("node").distinct(), "node", "left_semi"))
+    # only the sets of texts that meet another are wanted
+    meet = bucket.select("node").distinct()
+    some, some_path = kept.write(sets(meet) if callable(sets) else sets.join(meet, "node", "left_semi"))
     first, _ = kept.write(verified(bucket.where("node <> head").groupBy(F.col("node").alias("a")).agg(F.min("head").alias("b")), some, similarity))
     label = components(first)
     of = bucket.select("key", "node", "n").join(label, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -265,21 +267,35 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, distan
     """
     kept = Kept(docs.sparkSession, "near")
     rows = docs.where("doc_id is not null")
-    each = texts(rows).select(F.md5(F.col("text").cast("binary")).alias("node"), F.col("doc_id").alias("id"), "text").groupBy("node").agg(F.min("id").alias("least"), F.min("text").alias("text"))
+    each = texts(rows).select(F.md5(F.col("text").cast("binary")).alias("md5"), F.col("doc_id").alias("least"), "text")
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets, fp = [], []
+    def sketch(b: pa.RecordBatch) -> pa.RecordBatch:
+        n, fp, band = [], [], []
         for t in b.column("text").to_pylist():
             got = list(digests(t, width))
-            sets.append(shingles(got))
+            h = shingles(got)
+            n.append(len(h))
             fp.append(majority(got))
+            band.append(bands(h))
+        return pa.RecordBatch.from_arrays([b.column("md5"), b.column("least"), pa.array(n, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(band, pa.list_(pa.int64()))], names=["md5", "least", "n", "fp", "bands"])
+
+    def hashes(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(list(digests(t, width))) for t in b.column("text").to_pylist()]
         held = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(h) for h in sets]))), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-        return pa.RecordBatch.from_arrays([b.column("node"), b.column("least"), pa.array(list(map(len, sets)), pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array([bands(h) for h in sets], pa.list_(pa.int64())), held], names=["node", "least", "n", "fp", "bands", "h"])
+        return pa.RecordBatch.from_arrays([b.column("node"), held], names=["node", "h"])
+
+    # neither texts nor sets are dealt out here; a text is a number from now on, fixed as the table is written once
+    drawn = arrow_pass(each, sketch, "md5 string, least long, n int, fp long, bands array<long>")
+    drawn = drawn.groupBy("md5").agg(F.min("least").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "bands")])
+    own, own_path = kept.write(drawn.withColumn("node", F.monotonically_increasing_id()))
+
+    def sets(meet: DataFrame) -> DataFrame:
+        want = own.join(meet, "node", "left_semi").select("node", "md5", "least")
+        return arrow_pass(each.join(want, ["least", "md5"]).groupBy("least", "md5", "node").agg(F.first("text").alias("text")).select("node", "text"), hashes, "node long, h array<long>")
 
-    own, own_path = kept.write(arrow_pass(each, run, "node string, least long, n int, fp long, bands array<long>, h array<long>"))
-    label = alike_components(own.select("node", "n", "bands"), own.select("node", "h"), similarity, kept, fingerprint_groups(own.select("node", "n", "fp"), distance))
-    rooted = own.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    stays, _ = kept.write(rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("s")).select(F.col("s.least").alias("__id"), F.col("s.node").alias("__node")))
+    label = alike_components(own.select("node", "n", "bands"), sets, similarity, kept, fingerprint_groups(own.select("node", "n", "fp"), distance))
+    rooted = own.select("node", "md5", "least").join(label, "node", "left").select("md5", "least", F.coalesce("root", "node").alias("root"))
+    stays, _ = kept.write(rooted.groupBy("root").agg(F.min(F.struct("least", "md5")).alias("s")).select(F.col("s.least").alias("__id"), F.col("s.md5").alias("__node")))
     kept.drop(own_path)
     # repeated rows collapse before they are dealt out; of rows that differ in another column the least stays
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

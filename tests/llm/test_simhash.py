@@ -143,3 +143,14 @@ def test_linked_fingerprints_are_compared_by_their_sets(spark):
     kept = simhash.Kept(spark, "test")
     assert simhash.alike_components(own, sets, 0.8, kept).collect() == []
     assert {tuple(r) for r in simhash.alike_components(own, sets, 0.8, kept, groups).select("node", "root").collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("e", "c")}
+
+
+def test_only_texts_that_meet_another_have_their_sets_written(spark, monkeypatch):
+    word = [f"w{i}" for i in range(400)]
+    rows = [(1, word[:100]), (2, word[1:100]), (3, word[1:100]), *((i, word[i * 20 : i * 20 + 20]) for i in range(6, 16))]
+    held = []
+    real = simhash.Kept.write
+    monkeypatch.setattr(simhash.Kept, "write", lambda self, df: (lambda out: held.append(out[0].count()) or out if "h" in df.columns else out)(real(self, df)))
+    got = simhash.one_of_each(spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in rows], DOCS)).collect()
+    assert {r[0] for r in got} == {1, *range(6, 16)}
+    assert held == [2]
