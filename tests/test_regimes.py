@@ -84,3 +84,29 @@ def test_later_rows_change_no_label(spark):
     some = {r["date"]: r["regime"] for r in regimes.labels(obs.where(F.col("date") <= until), **kw).collect()}
     assert some == {d: x for d, x in every.items() if d <= until} and len(some) == 39
     assert regimes.labels(obs.limit(0), **kw).collect() == []
+
+
+def test_fits_of_many_blocks_are_those_of_whole_series(spark):
+    """Passes go block by block; a first chunk of its own length shifts all blocks, a refit may be longer than a block."""
+    x = np.array([r[1:] for r in series(430, 5)])
+    obs = spark.createDataFrame([("a", *r) for r in series(430, 5)], "pool string, date date, log_ret double, vol double")
+    for start, every in ((130, 60), (210, 200)):
+        got = {(r["date"] - DAY).days: r["state"] for r in regimes.labels(obs, start=start, refit_every=every, max_rounds=5).collect()}
+        assert got == brute(x, start, every, 5, 1e-4) and len(got) == 430 - start + 1
+
+
+def test_fits_are_dealt_by_work(spark, monkeypatch):
+    """Rows of a pass are small for the work in them: the number of tasks must not follow their bytes."""
+    parts, cut = [], regimes.cut_lineage
+
+    def watched(df):
+        out = cut(df)
+        if out.columns == ["key", "fit", "p"]:
+            parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(regimes, "cut_lineage", watched)
+    obs = spark.createDataFrame([(k, *r) for k in "abcdefgh" for r in series(700, ord(k))], "pool string, date date, log_ret double, vol double")
+    got = regimes.labels(obs, max_rounds=5)
+    assert got.count() == 8 * 641
+    assert len(parts) == 2 and parts[1] == 6  # 8 series of 33 fits, 5016 chunks, one task for 1000
